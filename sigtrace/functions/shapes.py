@@ -69,53 +69,51 @@ def boundary(body: Column) -> Column:
     ``body`` is a struct ``kind, cx, cy, r, x, y, w, h, gap, len``; the result
     is a struct ``kind, cx, cy, r, x, y, w, h`` and null for unknown kinds.
     """
+    def edge(kind, **values):
+        names = ("cx", "cy", "r", "x", "y", "w", "h")
+        return F.struct(F.lit(kind).alias("kind"), *[
+            (values[n] if n in values else F.lit(None)).cast("double").alias(n) for n in names])
+
+    def centred(w, h):
+        return edge("rect", x=body["cx"] - F.floor(w / 2), y=body["cy"] - F.floor(h / 2), w=w, h=h)
+
+    def at_least(name, low, default):
+        return F.greatest(F.lit(low), F.coalesce(body[name], F.lit(default)))
+
     kind = body["kind"]
-    length = F.greatest(F.lit(6), F.coalesce(body["len"], F.lit(18)))
-    gap = F.greatest(F.lit(4), F.coalesce(body["gap"], F.lit(12)))
-    tri_w = F.greatest(F.lit(8), F.coalesce(body["w"], F.lit(0)))
-    tri_h = F.greatest(F.lit(8), F.coalesce(body["h"], F.lit(0)))
-    half = lambda v: F.floor(v / 2)
-    w = (F.when(kind == "rect", body["w"]).when(kind == "cap", length)
-         .when(kind == "line", F.lit(20)).when(kind == "diode", tri_w))
-    h = (F.when(kind == "rect", body["h"]).when(kind == "cap", gap)
-         .when(kind == "line", F.lit(20)).when(kind == "diode", tri_h))
-    x = F.when(kind == "rect", body["x"]).otherwise(body["cx"] - half(w))
-    y = F.when(kind == "rect", body["y"]).otherwise(body["cy"] - half(h))
-    circle = kind == "circle"
-    return F.when(kind.isin("circle", "rect", "cap", "line", "diode"), F.struct(
-        F.when(circle, "circle").otherwise("rect").alias("kind"),
-        F.when(circle, body["cx"]).cast("double").alias("cx"),
-        F.when(circle, body["cy"]).cast("double").alias("cy"),
-        F.when(circle, body["r"]).cast("double").alias("r"),
-        F.when(~circle, x).cast("double").alias("x"),
-        F.when(~circle, y).cast("double").alias("y"),
-        F.when(~circle, w).cast("double").alias("w"),
-        F.when(~circle, h).cast("double").alias("h")))
+    return (F.when(kind == "circle", edge("circle", cx=body["cx"], cy=body["cy"], r=body["r"]))
+            .when(kind == "rect", edge("rect", x=body["x"], y=body["y"], w=body["w"], h=body["h"]))
+            .when(kind == "cap", centred(at_least("len", 6, 18), at_least("gap", 4, 12)))
+            .when(kind == "line", centred(F.lit(20), F.lit(20)))
+            .when(kind == "diode", centred(at_least("w", 8, 0), at_least("h", 8, 0))))
 
 
 def body_size(body: Column) -> Column:
     """Width and height of a body; lines have none."""
-    kind = body["kind"]
-    zero = F.lit(0)
-    w = (F.when(kind == "circle", body["r"] * 2).when(kind == "rect", body["w"])
-         .when(kind == "cap", F.coalesce(body["len"], zero))
-         .when(kind == "diode", F.coalesce(body["w"], zero)))
-    h = (F.when(kind == "circle", body["r"] * 2).when(kind == "rect", body["h"])
-         .when(kind == "cap", F.coalesce(body["gap"], zero))
-         .when(kind == "diode", F.coalesce(body["h"], zero)))
-    return F.when(w.isNotNull() & h.isNotNull(),
-                  F.struct(w.cast("double").alias("w"), h.cast("double").alias("h")))
+    def size(w, h):
+        return F.struct(w.cast("double").alias("w"), h.cast("double").alias("h"))
+
+    kind, zero = body["kind"], F.lit(0)
+    known = (F.when(kind == "circle", size(body["r"] * 2, body["r"] * 2))
+             .when(kind == "rect", size(body["w"], body["h"]))
+             .when(kind == "cap", size(F.coalesce(body["len"], zero), F.coalesce(body["gap"], zero)))
+             .when(kind == "diode", size(F.coalesce(body["w"], zero), F.coalesce(body["h"], zero))))
+    return known
 
 
 def body_contains(x: Column, y: Column, body: Column, pad=4) -> Column:
     """Whether a point lies in a body: exact for closed shapes, near for open ones."""
-    kind, edge = body["kind"], boundary(body)
-    pad = _lit(pad)
+    kind, pad = body["kind"], _lit(pad)
     dx, dy, reach = x - body["cx"], y - body["cy"], body["r"] + pad
-    in_rect = (x.between(edge["x"] - pad, edge["x"] + edge["w"] + pad)
-               & y.between(edge["y"] - pad, edge["y"] + edge["h"] + pad))
+
+    def within(left, top, w, h):
+        return x.between(left - pad, left + w + pad) & y.between(top - pad, top + h + pad)
+
+    wide = F.greatest(F.lit(8), F.coalesce(body["w"], F.lit(0)))
+    tall = F.greatest(F.lit(8), F.coalesce(body["h"], F.lit(0)))
     return (F.when(kind == "circle", dx * dx + dy * dy <= reach * reach)
-            .when(kind.isin("rect", "diode"), in_rect)
+            .when(kind == "rect", within(body["x"], body["y"], body["w"], body["h"]))
+            .when(kind == "diode", within(body["cx"] - F.floor(wide / 2), body["cy"] - F.floor(tall / 2), wide, tall))
             .when(kind.isin("cap", "line"), l1(x, y, body["cx"], body["cy"]) <= 20))
 
 

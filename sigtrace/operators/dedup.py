@@ -2,10 +2,11 @@
 
 Walking rows in priority order and keeping a row unless it conflicts with a kept
 one is decided here in parallel rounds.  Rows are filed in cells so small that
-any two rows of a cell conflict: only the first row of a cell can be kept next.
-It is kept once it comes before the first rows of all cells in reach; then
-everything that conflicts with it is dropped.  Work per round is linear in the
-rows, also where thousands of near-copies sit on one spot.
+any two rows of a cell conflict, so only the first row of a cell can be kept
+next.  It is kept if no open row before it conflicts with it; then everything
+that conflicts with it is dropped.  Each row meets only the first rows of the few
+cells in reach: work per round is linear in the rows, also where thousands of
+near-copies sit on one spot.
 """
 
 from __future__ import annotations
@@ -29,54 +30,59 @@ def _class(t: Column) -> Column:
     return ladder.otherwise(_POWERS[-1])
 
 
-def _power(k: Column) -> Column:
-    return F.pow(F.lit(BASE), k)
-
-
-def _joint(classes, kx: Column, ky: Column) -> Column:
-    """The size classes a row can meet, as distinct (jx, jy) maxima with its own."""
-    return F.array_distinct(F.array(*[
-        F.struct(F.greatest(F.lit(a), kx).alias("jx"), F.greatest(F.lit(b), ky).alias("jy"))
-        for a, b in classes]))
-
-
-def _spread(rows: DataFrame, classes) -> DataFrame:
-    """File rows for every size class that may look for them, in all cells in reach."""
-    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    seekers = F.array(*[F.struct(F.lit(a).alias("ax"), F.lit(b).alias("ay")) for a, b in classes])
-    return (rows.withColumn("_s", F.explode(seekers))
-            .withColumn("ax", F.col("_s.ax")).withColumn("ay", F.col("_s.ay"))
-            .withColumn("jx", F.greatest("ax", "kx")).withColumn("jy", F.greatest("ay", "ky"))
-            .withColumn("ux", F.floor(F.col("cx") / _power(F.col("jx") + 1)) + F.explode(around))
-            .withColumn("uy", F.floor(F.col("cy") / _power(F.col("jy") + 1)) + F.explode(around))
-            .drop("_s", "kx", "ky"))
-
-
-def _lookup(rows: DataFrame, classes) -> DataFrame:
-    return (rows.withColumn("_j", F.explode(_joint(classes, F.col("kx"), F.col("ky"))))
-            .withColumn("ax", F.col("kx")).withColumn("ay", F.col("ky"))
-            .withColumn("jx", F.col("_j.jx")).withColumn("jy", F.col("_j.jy")).drop("_j")
-            .withColumn("ux", F.floor(F.col("cx") / _power(F.col("jx") + 1)))
-            .withColumn("uy", F.floor(F.col("cy") / _power(F.col("jy") + 1))))
-
-
-_CELL = ["page_id", "ax", "ay", "jx", "jy", "ux", "uy"]
-
-
-def _conflict(shape: str) -> Column:
-    dx, dy = F.abs(F.col("cx") - F.col("k_cx")), F.abs(F.col("cy") - F.col("k_cy"))
-    if shape == "circle":
-        return F.sqrt(dx * dx + dy * dy) < F.greatest("tx", "k_tx")
-    return (dx < F.greatest("tx", "k_tx")) & (dy < F.greatest("ty", "k_ty"))
+class _Grid:
+    """Size classes present in the data and the cells in which they meet.
 
+    The classes are a few values on a logarithmic scale, whatever the data's size.
+    """
 
-def _against(rows: DataFrame, kept: DataFrame, classes, shape: str) -> DataFrame:
-    """Pairs of a row and a kept row it conflicts with."""
-    offers = _spread(kept.select("page_id", F.col("prio").alias("k_prio"), "cx", "cy", "tx", "ty", "kx", "ky"),
-                     classes)
-    for c in ("cx", "cy", "tx", "ty"):
-        offers = offers.withColumnRenamed(c, f"k_{c}")
-    return _lookup(rows, classes).join(offers, _CELL).filter(_conflict(shape))
+    def __init__(self, work: DataFrame, shape: str):
+        rows = work.groupBy("kx", "ky").agg(F.max("tx").alias("tx"), F.max("ty").alias("ty")).collect()
+        self.classes = [(r.kx, r.ky) for r in rows]
+        self.shape = shape
+        self.reach_x = {k: max(r.tx for r in rows if r.kx == k) for k, _ in self.classes}
+        self.reach_y = {k: max(r.ty for r in rows if r.ky == k) for _, k in self.classes}
+
+    @staticmethod
+    def _table(values: dict, key: Column) -> Column:
+        return F.element_at(F.create_map(*[F.lit(v) for item in values.items() for v in item]), key)
+
+    def _cells(self, df: DataFrame) -> DataFrame:
+        return (df.withColumn("ux", F.floor(F.col("cx") / self._table(self.reach_x, F.col("jx"))))
+                .withColumn("uy", F.floor(F.col("cy") / self._table(self.reach_y, F.col("jy")))))
+
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """File rows for every size class that may look for them, in all cells in reach."""
+        around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+        seekers = F.array(*[F.struct(F.lit(a).alias("ax"), F.lit(b).alias("ay")) for a, b in self.classes])
+        filed = self._cells(rows.withColumn("_s", F.explode(seekers))
+                            .withColumn("ax", F.col("_s.ax")).withColumn("ay", F.col("_s.ay"))
+                            .withColumn("jx", F.greatest("ax", "kx")).withColumn("jy", F.greatest("ay", "ky")))
+        return (filed.withColumn("_ox", F.explode(around)).withColumn("_oy", F.explode(around))
+                .withColumn("ux", F.col("ux") + F.col("_ox")).withColumn("uy", F.col("uy") + F.col("_oy"))
+                .drop("_s", "_ox", "_oy", "kx", "ky"))
+
+    def lookup(self, rows: DataFrame) -> DataFrame:
+        """One copy of each row per size class it can meet, in its own cell."""
+        meets = F.array_distinct(F.array(*[
+            F.struct(F.greatest(F.lit(a), F.col("kx")).alias("jx"), F.greatest(F.lit(b), F.col("ky")).alias("jy"))
+            for a, b in self.classes]))
+        return self._cells(rows.withColumn("_j", F.explode(meets))
+                           .withColumn("ax", F.col("kx")).withColumn("ay", F.col("ky"))
+                           .withColumn("jx", F.col("_j.jx")).withColumn("jy", F.col("_j.jy")).drop("_j"))
+
+    def conflicts(self, rows: DataFrame, others: DataFrame) -> DataFrame:
+        """Pairs of a row and another (``k_prio``) that it conflicts with."""
+        offers = self.spread(others.select("page_id", F.col("prio").alias("k_prio"), "cx", "cy", "tx", "ty", "kx", "ky"))
+        for c in ("cx", "cy", "tx", "ty"):
+            offers = offers.withColumnRenamed(c, f"k_{c}")
+        dx, dy = F.abs(F.col("cx") - F.col("k_cx")), F.abs(F.col("cy") - F.col("k_cy"))
+        if self.shape == "circle":
+            close = F.sqrt(dx * dx + dy * dy) < F.greatest("tx", "k_tx")
+        else:
+            close = (dx < F.greatest("tx", "k_tx")) & (dy < F.greatest("ty", "k_ty"))
+        cell = ["page_id", "ax", "ay", "jx", "jy", "ux", "uy"]
+        return self.lookup(rows).join(offers, cell).filter(close).select("page_id", "prio", "k_prio")
 
 
 def greedy_nms(df: DataFrame, order: list[str], cx: Column, cy: Column, tx: Column,
@@ -94,36 +100,31 @@ def greedy_nms(df: DataFrame, order: list[str], cx: Column, cy: Column, tx: Colu
         "page_id", F.struct(*order).alias("prio"), cx.cast("double").alias("cx"), cy.cast("double").alias("cy"),
         tx.cast("double").alias("tx"), ty.cast("double").alias("ty"))
     work = work.withColumn("kx", _class(F.col("tx"))).withColumn("ky", _class(F.col("ty")))
-    work = (work.withColumn("gx", F.floor(F.col("cx") / (_power(F.col("kx")) * shrink)))
-            .withColumn("gy", F.floor(F.col("cy") / (_power(F.col("ky")) * shrink))))
+    # A cell as wide as the smallest distance of its class holds only rows that conflict.
+    low = lambda k: F.pow(F.lit(BASE), F.col(k)) * shrink
+    work = (work.withColumn("gx", F.floor(F.col("cx") / low("kx"))).withColumn("gy", F.floor(F.col("cy") / low("ky"))))
     work = cut(work)
-    # At most len(_POWERS) ** 2 rows whatever the data.
-    classes = [(r.kx, r.ky) for r in work.select("kx", "ky").distinct().collect()]
+    grid = _Grid(work, shape)
     left, kept, rounds = work, [], 0
-    while classes and not left.isEmpty():
+    while not left.isEmpty():
         rounds += 1
         if rounds > max_rounds:
             raise RuntimeError(f"de-duplication not finished after {max_rounds} rounds")
         first = (left.groupBy("page_id", "kx", "ky", "gx", "gy")
                  .agg(F.min_by(F.struct("prio", "cx", "cy", "tx", "ty"), "prio").alias("_f"))
                  .select("page_id", "kx", "ky", "_f.*"))
-        signal = _spread(first.select("page_id", "prio", "cx", "cy", "kx", "ky"), classes)
-        signal = signal.groupBy(*_CELL).agg(F.min("prio").alias("before"))
-        keep = (_lookup(first, classes).join(signal, _CELL)
-                .groupBy("page_id", "prio", "cx", "cy", "tx", "ty", "kx", "ky")
-                .agg(F.min("before").alias("before")).filter(F.col("before") == F.col("prio")))
-        gone = _against(left, keep, classes, shape).select("page_id", "prio").distinct()
-        state = left.join(keep.select("page_id", "prio", F.lit(True).alias("_k")), ["page_id", "prio"], "left")
-        state = state.join(gone.select("page_id", "prio", F.lit(True).alias("_g")), ["page_id", "prio"], "left")
-        state = cut(state.filter("_k or _g is null"))
-        kept.append(state.filter("_k").drop("_k", "_g"))
-        left = state.filter("_k is null").drop("_k", "_g")
-    if not kept:
-        empty = F.struct(*order)
-        return df.select("*", F.lit(True).alias("kept"), empty.alias("kept_by"), F.lit(0).alias("rounds")).limit(0)
-    winners = reduce(DataFrame.unionByName, kept)
-    by = (_against(work, winners, classes, shape).filter(F.col("k_prio") <= F.col("prio"))
-          .groupBy("page_id", "prio").agg(F.min("k_prio").alias("kept_by")))
+        met = cut(grid.conflicts(left, first))
+        blocked = met.filter("prio < k_prio").select("page_id", F.col("k_prio").alias("prio")).distinct()
+        keep = first.select("page_id", "prio").join(blocked, ["page_id", "prio"], "left_anti")
+        by_kept = met.join(keep.withColumnRenamed("prio", "k_prio"), ["page_id", "k_prio"], "left_semi")
+        fate = by_kept.groupBy("page_id", "prio").agg(F.bool_or(F.col("prio") == F.col("k_prio")).alias("_kept"))
+        state = cut(left.join(fate, ["page_id", "prio"], "left"))
+        kept.append(state.filter("_kept").drop("_kept"))
+        left = state.filter("_kept is null").drop("_kept")
+    winners = reduce(DataFrame.unionByName, kept) if kept else work
+    by = (grid.conflicts(work, winners).filter("k_prio <= prio")
+          .groupBy("page_id", "prio").agg(F.min("k_prio").alias("kept_by"))) if kept else work.select(
+        "page_id", "prio", F.col("prio").alias("kept_by"))
     by = by.withColumn("kept", F.col("kept_by") == F.col("prio")).withColumn("rounds", F.lit(rounds))
     return (df.withColumn("prio", F.struct(*order)).join(by, ["page_id", "prio"])
             .select(*df.columns, "kept", "kept_by", "rounds"))

@@ -58,7 +58,8 @@ def mask_legend(pixels: DataFrame, legend: DataFrame, tol: int = 40) -> DataFram
     px = pixels
     for c in "bgr":
         px = px.withColumn(f"_p{c}", F.floor(F.col(c) / step))
-        cells = cells.withColumn(f"_l{c}", F.floor(F.col(f"l_{c}") / step) + F.explode(around))
+        cells = cells.withColumn("_o", F.explode(around))
+        cells = cells.withColumn(f"_l{c}", F.floor(F.col(f"l_{c}") / step) + F.col("_o")).drop("_o")
         on = on & (F.col(f"_p{c}") == F.col(f"_l{c}"))
         near = near & (F.abs(F.col(c).cast("int") - F.col(f"l_{c}")) <= tol)
     return px.join(cells, on & near).select(*pixels.columns, "label")

@@ -301,8 +301,9 @@ def correct_misreads(hits: DataFrame, universe: DataFrame) -> DataFrame:
 
 def touched_and_serial(touched: DataFrame, parts: DataFrame, rules: list[tuple[str, str | None]]) -> DataFrame:
     """Touched parts of the classes that sit in series, as (type, designator pattern or null)."""
-    test = reduce(lambda a, c: a | c, [
-        (F.col("type") == t) & (F.col("refdes").rlike(p) if p else F.lit(True)) for t, p in rules])
+    plain = [t for t, pattern in rules if not pattern]
+    test = reduce(lambda a, c: a | c, [(F.col("type") == t) & F.col("refdes").rlike(p) for t, p in rules if p],
+                  F.col("type").isin(plain))
     typed = touched.withColumn("type", component_type(F.col("refdes"))).filter(test)
     return typed.join(parts.select("refdes").distinct(), "refdes", "left_semi").select(*touched.columns, "type")
 

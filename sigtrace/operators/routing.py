@@ -103,7 +103,7 @@ def proximity(segs: DataFrame, routed: DataFrame, keys: list[str], sep: float =
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     mine = _along(_both_axes(segs), "lo", "hi", "_run").withColumn("_at", F.floor(F.col("pos") / sep))
     other = (_along(_piles(_both_axes(routed)), "lo", "hi", "_run")
-             .withColumn("_at", F.floor(F.col("pos") / sep) + F.explode(around)))
+             .withColumn("_o", F.explode(around)).withColumn("_at", F.floor(F.col("pos") / sep) + F.col("_o")).drop("_o"))
     o = _as_other(other)
     first = F.floor(F.greatest("lo", "o_lo") / CELL) == F.col("_run")
     on = ((mine["board_id"] == o["board_id"]) & (F.col("axis") == F.col("o_axis"))

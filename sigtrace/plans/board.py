@@ -344,7 +344,7 @@ def q_relocate(ev):
     UNION ALL SELECT rule, refdes, CAST(0 AS BIGINT), count(*) FROM (
       SELECT refdes, unnest(list_filter([CASE WHEN NOT (600.0 / src_dpi = 2) THEN 'scale' END, CASE WHEN src_dpi <> 300 THEN 'dpi' END,
          CASE WHEN NOT (x BETWEEN 50 AND 1500 AND y BETWEEN 50 AND 2000) THEN 'center' END,
-         CASE WHEN NOT (x - 5 BETWEEN 50 AND 1500 AND x + 5 BETWEEN 50 AND 1500 AND y BETWEEN 50 AND 2000) THEN 'box' END], t -> t IS NOT NULL)) AS rule FROM best)
+         CASE WHEN NOT (x - 5 BETWEEN 50 AND 1500 AND x + 5 BETWEEN 50 AND 1500 AND y BETWEEN 50 AND 2000) THEN 'box' END], lambda t: t IS NOT NULL)) AS rule FROM best)
       GROUP BY rule, refdes
     UNION ALL SELECT 'missing_engine', refdes, CAST(0 AS BIGINT), count(*) FROM best WHERE conf = 0 GROUP BY refdes""")
 def q_quality(ev):

@@ -278,7 +278,7 @@ def q_flow_ends(ev):
 @query("q_heading", f"""WITH {_ENDS},
     g AS (SELECT l.chain_id, l.idx, l.x AS x1, l.y AS y1, l.x + l.idx % 3 * 20 - 20 AS x2, l.y + l.chain_id % 5 * 10 - 20 AS y2 FROM l WHERE x IS NOT NULL),
     d AS (SELECT g.*, sqrt((x1 - up_x) * (x1 - up_x) + (y1 - up_y) * (y1 - up_y)) > sqrt((x2 - up_x) * (x2 - up_x) + (y2 - up_y) * (y2 - up_y)) AS swap,
-      idx % 3 - 1 AS ax, chain_id % 3 - 1 AS ay FROM g JOIN n ON g.chain_id = n.chain_id),
+      g.idx % 3 - 1 AS ax, g.chain_id % 3 - 1 AS ay FROM g JOIN n ON g.chain_id = n.chain_id),
     t AS (SELECT *, abs(degrees(atan2(ay, ax)) - degrees(atan2(chain_id % 2, 1))) % 180 AS turn0, abs(degrees(atan2(ay, ax))) AS slope0 FROM d)
     SELECT chain_id, idx, CASE WHEN swap THEN x2 ELSE x1 END AS tail_x, CASE WHEN swap THEN y2 ELSE y1 END AS tail_y,
       CASE WHEN swap THEN x1 ELSE x2 END AS head_x, CASE WHEN swap THEN y1 ELSE y2 END AS head_y,
