@@ -87,8 +87,9 @@ def hop_distance(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_round
     Returns the reached nodes with ``dist``.  ``steps`` levels run per job; reaching
     ``max_rounds`` is an error, never a silent cut.
     """
-    both = cut(edges.select("page_id", "a", "b")
-               .unionByName(edges.select("page_id", F.col("b").alias("a"), F.col("a").alias("b"))))
+    ways = [edges.select(F.col("page_id").alias("_p"), F.col(s).alias("_from"), F.col(t).alias("_to"))
+            for s, t in (("a", "b"), ("b", "a"))]
+    both = cut(ways[0].unionByName(ways[1]))
     front = seeds.select("page_id", "node", F.lit(0).alias("dist"))
     done, recent, level = [], front, 0
     front = recent = cut(front)
@@ -97,8 +98,8 @@ def hop_distance(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_round
         found = []
         for _ in range(steps):
             level += 1
-            step = (front.join(both, (front["page_id"] == both["page_id"]) & (front["node"] == both["a"]))
-                    .select(both["page_id"], F.col("b").alias("node")).distinct())
+            step = (front.join(both, (F.col("page_id") == F.col("_p")) & (F.col("node") == F.col("_from")))
+                    .select("page_id", F.col("_to").alias("node")).distinct())
             # A neighbour of level n is on level n-1, n or n+1: two levels back suffice.
             step = step.join(recent, ["page_id", "node"], "left_anti").withColumn("dist", F.lit(level))
             found.append(step)

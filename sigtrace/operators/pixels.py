@@ -38,11 +38,10 @@ def mask_color(pixels: DataFrame, colours: list[str] | None = None, rules: dict
                edge: bool = True, sat_min: int = 30) -> DataFrame:
     """Pixels of the named colours (all by default): their core and, if wanted, soft rim."""
     rules = rules or colour.COLOUR_RULES
-    tests = []
-    for name in colours or list(rules):
-        tests.append(colour.colour_core(rules[name]))
-        if edge:
-            tests.append(colour.colour_edge(rules[name], sat_min))
+    chosen = [rules[name] for name in colours or rules]
+    tests = [colour.colour_core(spec) for spec in chosen]
+    if edge:
+        tests.append(colour.colour_edge(*chosen, sat_min=sat_min))
     return pixels.filter(reduce(lambda a, c: a | c, tests))
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("board", "schematic")
+MODULES = ("board", "schematic", "page", "combined")
 
 
 def load():

@@ -85,7 +85,9 @@ def bodies(ev: Evidence):
                     F.when(circle, F.floor(w / 2)).alias("r"), F.when(rect, x).alias("x"), F.when(rect, y).alias("y"),
                     F.when(rect | (kind == "diode"), w).alias("w"), F.when(rect | (kind == "diode"), h).alias("h"),
                     F.when(cap, F.floor(h / 4)).alias("gap"), F.when(cap, w).alias("len"))
-    return ev.v_box.select("page_id", "ord", "kind", x.alias("x"), y.alias("y"), w.alias("bw"), body.alias("symbol_body"))
+    rows = ev.v_box.select("page_id", "ord", "kind", x.alias("x"), y.alias("y"), body.alias("symbol_body"))
+    # The exchange keeps the long CASE expressions of the view out of everything built on them.
+    return rows.repartition("page_id", "ord")
 
 
 _EDGE = """e AS (SELECT page_id, ord, CASE WHEN kind = 'circle' THEN 'circle' ELSE 'rect' END AS ek, x0 AS cx, y0 AS cy, w // 2 AS r,
