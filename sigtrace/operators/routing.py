@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from ..session import cut
 
 # Vertical offsets of detours, separation of parallel lines, score weights.
 DETOURS = [-400, -200, -100, -50, 50, 100, 200, 400]
@@ -169,7 +170,7 @@ def best_routes(scored: DataFrame) -> DataFrame:
 
 def plan_routes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Best route per edge against the plainest route of every other edge."""
-    candidates = route_candidates(edges)
+    candidates = cut(route_candidates(edges))  # every conflict count below starts from them
     plain = segments_of(candidates.filter("cand = 0"), [*KEY, "edge_id"])
     zones = nodes.select("board_id", geo.keepout(
         F.col("refdes"), F.col("x"), F.col("y"), F.col("lpos"), F.col("fs")).alias("k")).select("board_id", "k.*")

@@ -7,9 +7,13 @@ searches look at fine cells first and widen only for what is still open.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 LEVELS = (64, 512, 4096, 32768)
 
 
@@ -134,15 +138,17 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], pad: f
     return joined.drop("_level", "_cx", "_cy", *[f"_b{c}" for c in (*keys, "_level", "_cx", "_cy")])
 
 
-def touching_boxes(boxes: DataFrame, keys: list[str], pad: float, ident: str = "ord") -> DataFrame:
+def touching_boxes(boxes: DataFrame, keys: list[str], pad: float, ident: str = "ord",
+                   test: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Unordered pairs of boxes whose padded bounds meet, each exactly once.
 
     ``boxes`` has ``keys, ident, bx0, by0, bx1, by1, row``; the result has ``keys``
     and the structs ``a`` and ``b`` of ``row`` with ``a`` first by ``ident``.  A pair
     meets on the grid of its larger box, in the cell of the intersection's corner.
+    ``test`` is a further symmetric condition on the two row structs.
     """
     extent = F.greatest(F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0")) + 2 * pad
-    base = boxes.withColumn("_own", level_of(extent))
+    base = cut(boxes.withColumn("_own", level_of(extent)))  # read once for each side of the join
     own = _file_boxes(base, F.col("_own"), pad)
     every = _file_boxes(
         base.withColumn("_l", F.explode(F.sequence(F.col("_own"), F.lit(len(LEVELS) - 1)))),
@@ -158,6 +164,8 @@ def touching_boxes(boxes: DataFrame, keys: list[str], pad: float, ident: str = "
             & (F.col("l_by0") - pad <= F.col("r_by1") + pad) & (F.col("r_by0") - pad <= F.col("l_by1") + pad))
     l_first = F.col(f"l_{ident}") < F.col(f"r_{ident}")
     fresh = (F.col("r_own") < F.col("_level")) | l_first
+    if test is not None:
+        meet = meet & test(F.col("l_row"), F.col("r_row"))
     return (left.join(right, [*keys, "_level", "_cx", "_cy"]).filter(meet & once & fresh)
             .select(*keys, F.when(l_first, F.col("l_row")).otherwise(F.col("r_row")).alias("a"),
                     F.when(l_first, F.col("r_row")).otherwise(F.col("l_row")).alias("b")))

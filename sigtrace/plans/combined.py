@@ -31,7 +31,7 @@ _PLACES = """pl AS (SELECT refdes, arg_min(x, ord) AS x, arg_min(y, ord) AS y, C
 
 def board_edges(ev: Evidence):
     chain = ev.v_chain.select("chain_id", "idx", "refdes")
-    located = registry.backfill_positions(chain, placed_labels(ev).withColumn("view_name", F.col("view_name")), 0)
+    located = registry.backfill_positions(chain, placed_labels(ev), 0)
     # The labels are in top-view space already: undo the mirroring of bottom places.
     located = located.withColumn("x", F.when(F.col("view_name") == "bot", F.col("x") * -1).otherwise(F.col("x")))
     edges = registry.chain_edges(located)
@@ -172,12 +172,17 @@ def _serial() -> str:
 
 
 def _run_files(df, parts: int, order: str):
-    """Write rows as ``parts`` files in ``order``, as runs would add them."""
+    """Write rows as run files one after the other in time order, as runs add them."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     base = f"{folder}/stream" if folder else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     path = f"{base}/runs-{_serial()}"
-    df.repartitionByRange(parts, order).write.parquet(path)
+    at = F.col(order).cast("timestamp").cast("double")
+    bounds = df.select(at.alias("at")).approxQuantile("at", [i / parts for i in range(1, parts)], 0.01)
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        part = df if low is None else df.filter(at > low)
+        part = part if high is None else part.filter(at <= high)
+        part.write.mode("append").parquet(path)
     return path
 
 
@@ -199,7 +204,7 @@ def s_hits(ev):
 
 @query("s_dedup", "SELECT event_id AS ord, user_id, ts FROM events")
 def s_dedup(ev):
-    events = ev.table("events").select(F.col("event_id").alias("ord"), "user_id", "ts")
+    events = ev.table("events").select(F.col("event_id").alias("ord"), "user_id", F.col("ts").cast("timestamp").alias("ts"))
     again = events.filter("ord % 3 = 0")  # a resumed scan delivers these a second time
     stream = ev.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(
         _run_files(events.unionByName(again), 4, "ts"))
@@ -210,7 +215,7 @@ def s_dedup(ev):
     SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS round_start, event_type, count(*) AS hits FROM events
     WHERE CAST(ts AS DATE) < (SELECT max(CAST(ts AS DATE)) FROM events) GROUP BY 1, 2""")
 def s_round(ev):
-    events = ev.table("events").select("event_type", "ts")
+    events = ev.table("events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
     stream = ev.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(_run_files(events, 4, "ts"))
     return _drain(rounds.stream_round_metrics(stream, "1 day", "1 minute", by=("event_type",)), "append")
 
@@ -221,7 +226,7 @@ def s_round(ev):
       WHERE ts <= date_trunc('milliseconds', w) GROUP BY fact)
     SELECT fact, events, CAST(score AS BIGINT) AS score FROM tr""")
 def s_truth(ev):
-    events = ev.v_truth
+    events = ev.v_truth.withColumn("ts", F.col("ts").cast("timestamp"))
     stream = ev.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(_run_files(events, 4, "ts"))
     scored = _drain(rounds.stream_truth_score(stream, "1 minute"), "update")
     last = F.max_by(F.struct("events", "score"), "events").alias("s")
@@ -230,7 +235,7 @@ def s_truth(ev):
 
 @query("q_types", """SELECT ord, CASE WHEN refdes LIKE 'IC%' THEN 'IC' WHEN refdes LIKE 'Q%' THEN 'transistor' WHEN refdes LIKE 'R%' THEN 'resistor'
     WHEN refdes LIKE 'C%' THEN 'capacitor' WHEN refdes LIKE 'L%' THEN 'inductor' WHEN refdes LIKE 'D%' THEN 'diode' ELSE 'filter' END AS type,
-    round(abs(x - 2400) + abs(y - 3150) + 0.0, 1) AS length FROM v_label""")
+    CAST(abs(x - 2400) + abs(y - 3150) AS DOUBLE) AS length FROM v_label""")
 def q_types(ev):
     route = F.array(geo.point(F.col("x"), F.col("y")), geo.point(F.lit(2400), F.col("y")), geo.point(F.lit(2400), F.lit(3150)))
     return ev.v_label.select("ord", component_type(F.col("refdes")).alias("type"), F.round(geo.route_length(route), 1).alias("length"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ def append_knowledge(df: DataFrame, path: str, key: list[str] | None = None) ->
         spark = df.sparkSession
         try:
             known = spark.read.parquet(path).select(*key)
-        except Exception as missing:  # first write: there is no table yet
-            if "PATH_NOT_FOUND" not in str(missing):
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":  # else the first write: no table yet
                 raise
         else:
             new = new.join(known, key, "left_anti")

@@ -38,30 +38,29 @@ _STATE = "score long, events long, at array<long>, seq array<long>, kind array<s
 _OUT = "fact long, events long, score long"
 
 
-def _apply(score: int, kind: str) -> int:
-    if kind == "human":
-        return HUMAN_SCORE
-    return min(HIGH, max(LOW, score + STEPS.get(kind, 0)))
-
-
-def _fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold what the watermark has passed, in time order; keep the rest in state."""
-    score, done, at, seq, kind = state.get if state.exists else (START_SCORE, 0, [], [], [])
-    waiting = list(zip(at, seq, kind))
-    for batch in batches:
-        stamps = batch["ts"].astype("datetime64[us]").astype("int64")
-        waiting.extend(zip(stamps.tolist(), batch["seq"].tolist(), batch["kind"].tolist()))
-    limit = state.getCurrentWatermarkMs() * 1000
-    ready = sorted(w for w in waiting if w[0] <= limit)
-    rest = [w for w in waiting if w[0] > limit]
-    for _, _, what in ready:
-        score = _apply(score, what)
-    done += len(ready)
-    state.update((score, done, [w[0] for w in rest], [w[1] for w in rest], [w[2] for w in rest]))
-    if rest:
-        state.setTimeoutTimestamp(max(min(w[0] for w in rest) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-    if ready:
-        yield pd.DataFrame({"fact": [key[0]], "events": [done], "score": [score]})
+def _folder(steps: dict[str, int], start: int, low: int, high: int, human: int):
+    """The state function; a closure, so executors need nothing of this package."""
+
+    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # Fold what the watermark has passed, in time order; keep the rest in state.
+        score, done, at, seq, kind = state.get if state.exists else (start, 0, [], [], [])
+        waiting = list(zip(at, seq, kind))
+        for batch in batches:
+            stamps = batch["ts"].astype("datetime64[us]").astype("int64")
+            waiting.extend(zip(stamps.tolist(), batch["seq"].tolist(), batch["kind"].tolist()))
+        watermark = state.getCurrentWatermarkMs()
+        ready = sorted(w for w in waiting if w[0] <= watermark * 1000)
+        rest = [w for w in waiting if w[0] > watermark * 1000]
+        for _, _, what in ready:
+            score = human if what == "human" else min(high, max(low, score + steps.get(what, 0)))
+        done += len(ready)
+        state.update((score, done, [w[0] for w in rest], [w[1] for w in rest], [w[2] for w in rest]))
+        if rest:
+            state.setTimeoutTimestamp(max(min(w[0] for w in rest) // 1000 + 1, watermark + 1))
+        if ready:
+            yield pd.DataFrame({"fact": [key[0]], "events": [done], "score": [score]})
+
+    return fold
 
 
 def stream_truth_score(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -71,5 +70,5 @@ def stream_truth_score(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     passed further events of it; the latest row per fact has the highest ``events``.
     """
     scored = (events.withWatermark("ts", delay).groupBy("fact")
-              .applyInPandasWithState(_fold, _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout))
+              .applyInPandasWithState(_folder(STEPS, START_SCORE, LOW, HIGH, HUMAN_SCORE), _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout))
     return scored.withColumn("tier", tier(F.col("score")))
