@@ -11,7 +11,8 @@ from .. import schema
 from ..functions.text import norm_key
 from ..operators.ordered import first_per
 
-_FILE = F.col("_metadata.file_path").alias("source")
+def _file():
+    return F.col("_metadata.file_path").alias("source")
 
 
 def _point(c: str):
@@ -24,7 +25,7 @@ def _polygon(c):
 
 
 def _documents(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    return spark.read.schema(ddl).option("multiLine", True).json(path).select("*", _FILE)
+    return spark.read.schema(ddl).option("multiLine", True).json(path).select("*", _file())
 
 
 def read_ocr_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -59,7 +60,7 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
 
 def _keyed(spark: SparkSession, path: str) -> DataFrame:
     """Entries of objects keyed by designator, keys starting with an underscore left out."""
-    docs = spark.read.option("wholetext", True).text(path).select("value", _FILE)
+    docs = spark.read.option("wholetext", True).text(path).select("value", _file())
     pairs = docs.select("source", F.posexplode(F.from_json("value", "map<string,string>")).alias("ord", "key", "entry"))
     return pairs.filter(~F.startswith("key", F.lit("_"))).withColumn("ord", F.col("ord").cast("long"))
 
@@ -86,7 +87,7 @@ def read_chain(spark: SparkSession, path: str) -> DataFrame:
 
 def read_label_positions(spark: SparkSession, path: str) -> DataFrame:
     """Designator places from an object of arrays or a list of records; the first one wins."""
-    docs = spark.read.option("wholetext", True).text(path).select("value", _FILE)
+    docs = spark.read.option("wholetext", True).text(path).select("value", _file())
     is_list = F.ltrim("value").startswith("[")
     listed = docs.filter(is_list).select(
         "source", F.posexplode(F.from_json("value", f"array<{schema.LABEL_RECORD}>")).alias("ord", "r"))
@@ -144,7 +145,7 @@ def number_words(lines: DataFrame, text: str = "value", keep: tuple[str, ...] =
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
-    return number_words(spark.read.text(path).select("value", _FILE), keep=("source",))
+    return number_words(spark.read.text(path).select("value", _file()), keep=("source",))
 
 
 def read_pixels(spark: SparkSession, path: str, pages: list | None = None) -> DataFrame:
