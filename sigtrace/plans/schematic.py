@@ -89,6 +89,7 @@ def bodies(ev: Evidence):
                     F.when(rect | (kind == "diode"), w).alias("w"), F.when(rect | (kind == "diode"), h).alias("h"),
                     F.when(cap, F.floor(h / 4)).alias("gap"), F.when(cap, w).alias("len"))
     rows = ev.v_box.select("page_id", "ord", "kind", x.alias("x"), y.alias("y"), body.alias("symbol_body"))
+    rows = rows.withColumn("sym_boundary", shapes.boundary(F.col("symbol_body")))
     # The exchange keeps the long CASE expressions of the view out of everything built on them.
     return rows.repartition("page_id", "ord")
 
@@ -113,8 +114,7 @@ _MIXED = """(greatest({r}.ex - 6, least({c}.cx, {r}.ex + {r}.ew + 6)) - {c}.cx)
       WHEN a.ek = 'circle' THEN {_MIXED.format(c='a', r='b')} ELSE {_MIXED.format(c='b', r='a')} END
     UNION ALL SELECT page_id, ord, ord, n, n, n * (n - 1) // 2 FROM g WHERE n > 1""")
 def q_overlaps(ev):
-    parts = bodies(ev).withColumn("sym_boundary", shapes.boundary(F.col("symbol_body")))
-    return associate.overlaps(parts)
+    return associate.overlaps(bodies(ev))
 
 
 
@@ -367,7 +367,7 @@ def q_first_source(ev):
       WHERE s.area > 3000 AND s.area < 120000 AND least(s.w, s.h) / greatest(s.w, s.h)::DOUBLE > 0.3 AND s.area / (s.w * s.h) >= 0.7)
     SELECT l.ord, b.shape, n.detection, CAST(n.distance AS DOUBLE) AS distance FROM v_label l LEFT JOIN b ON l.ord = b.ord LEFT JOIN n ON l.ord = n.ord AND n.rn = 1""")
 def q_enclosing(ev):
-    edges = bodies(ev).select("page_id", "ord", shapes.boundary(F.col("symbol_body")).alias("edge"))
+    edges = bodies(ev).select("page_id", "ord", F.col("sym_boundary").alias("edge"))
     labels = ev.v_label.select("page_id", "ord", "x", "y")
     inside = associate.enclosing_shape(labels, edges).select("ord", "shape")
     near = associate.nearest_detection(labels, ev.v_box).select("ord", "detection", F.col("distance").cast("double").alias("distance"))
