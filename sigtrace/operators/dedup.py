@@ -40,8 +40,9 @@ class _Grid:
         rows = work.groupBy("kx", "ky").agg(F.max("tx").alias("tx"), F.max("ty").alias("ty")).collect()
         self.classes = [(r.kx, r.ky) for r in rows]
         self.shape = shape
-        self.reach_x = {k: max(r.tx for r in rows if r.kx == k) for k, _ in self.classes}
-        self.reach_y = {k: max(r.ty for r in rows if r.ky == k) for _, k in self.classes}
+        least = BASE ** _POWERS[0]  # a distance of zero still needs a cell
+        self.reach_x = {k: max([least, *(r.tx for r in rows if r.kx == k)]) for k, _ in self.classes}
+        self.reach_y = {k: max([least, *(r.ty for r in rows if r.ky == k)]) for _, k in self.classes}
 
     @staticmethod
     def _table(values: dict, key: Column) -> Column:

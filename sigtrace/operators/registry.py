@@ -33,11 +33,11 @@ _VIEW = "struct<px:struct<x:double,y:double>,alts:array<struct<x:double,y:double
 
 
 def _seen(df: DataFrame, view: str | Column, source: str, conf: Column | None = None,
-          evidence: Column | None = None) -> DataFrame:
+          evidence: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     view = F.lit(view) if isinstance(view, str) else view
     none = lambda t: F.lit(None).cast(t)
     return df.select(
-        norm_key(F.col("refdes")).alias("refdes"), view.alias("view"), F.lit(source).alias("src"),
+        *by, norm_key(F.col("refdes")).alias("refdes"), view.alias("view"), F.lit(source).alias("src"),
         F.col("ord").cast("long").alias("ord"),
         geo.point(F.col("x").cast("double"), F.col("y").cast("double")).alias("px"),
         (none("double") if conf is None else conf.cast("double")).alias("conf"),
@@ -46,46 +46,48 @@ def _seen(df: DataFrame, view: str | Column, source: str, conf: Column | None =
 
 def merge_sources(schematic: DataFrame, anchors: DataFrame, ai_hits: DataFrame,
                   not_located: DataFrame | None = None, names: DataFrame | None = None,
-                  ai_view: str = "pcb_top") -> DataFrame:
-    """One row per designator with its views, status, type, name and note.
+                  ai_view: str = "pcb_top", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per designator (and device, with ``by``) with its views, status, type, name and note.
 
     ``schematic``: refdes, ord, x, y; ``anchors``: the same and view_name (top/bot),
     note; ``ai_hits``: one best hit per designator with conf; ``not_located``:
     refdes, note, ord; ``names``: refdes, name.  Anchors confirm; a hit fills only an
     empty view; a missing part is unverified unless confirmed.  All schematic places
-    of a part are kept in ``alts`` when there are several.
+    of a part are kept in ``alts`` when there are several.  ``by`` names the columns
+    that tell devices apart, present in every source.
 
     Each source is reduced to one row per part before the sources meet, with partial
     aggregation on the map side.
     """
-    sch = _seen(schematic, "schematic", "schematic")
+    part = [*by, "refdes"]
+    sch = _seen(schematic, "schematic", "schematic", by=by)
     # Equal places of a part are merged first, so a list holds only its distinct places.
-    spots = sch.groupBy("refdes", "view", "src", "px").agg(F.min("ord").alias("ord"))
-    sch = spots.groupBy("refdes", "view", "src").agg(
+    spots = sch.groupBy(*part, "view", "src", "px").agg(F.min("ord").alias("ord"))
+    sch = spots.groupBy(*part, "view", "src").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "px"))), lambda s: s["px"]).alias("_all"))
-    sch = sch.select("refdes", "view", F.lit(1).alias("grade"), "src", F.col("_all")[0].alias("px"),
+    sch = sch.select(*part, "view", F.lit(1).alias("grade"), "src", F.col("_all")[0].alias("px"),
                      F.when(F.size("_all") > 1, F.col("_all"))
                      .otherwise(F.array().cast("array<struct<x:double,y:double>>")).alias("alts"),
                      F.lit(None).cast("double").alias("conf"), F.lit(None).cast("string").alias("evidence"))
     note = F.col("note") if "note" in anchors.columns else F.lit("")
     no_alts = F.array().cast("array<struct<x:double,y:double>>").alias("alts")
     # The last anchor of a view replaces earlier ones.
-    anc = _seen(anchors, F.concat(F.lit("pcb_"), F.col("view_name")), "anchor", evidence=note)
-    anc = first_per(anc, ["refdes", "view"], [F.col("ord") * -1]).select(
-        "refdes", "view", F.lit(3).alias("grade"), "src", "px", no_alts, "conf", "evidence")
-    ai = _seen(ai_hits, ai_view, "ai_run", conf=F.col("conf"))
-    ai = first_per(ai, ["refdes", "view"], ["ord"]).select(
-        "refdes", "view", F.lit(2).alias("grade"), "src", "px", no_alts, "conf", "evidence")
+    anc = _seen(anchors, F.concat(F.lit("pcb_"), F.col("view_name")), "anchor", evidence=note, by=by)
+    anc = first_per(anc, [*part, "view"], [F.col("ord") * -1]).select(
+        *part, "view", F.lit(3).alias("grade"), "src", "px", no_alts, "conf", "evidence")
+    ai = _seen(ai_hits, ai_view, "ai_run", conf=F.col("conf"), by=by)
+    ai = first_per(ai, [*part, "view"], ["ord"]).select(
+        *part, "view", F.lit(2).alias("grade"), "src", "px", no_alts, "conf", "evidence")
     rows = reduce(DataFrame.unionByName, [sch, anc, ai])
     entry = F.struct("px", "alts", "src", "conf", "evidence").cast(_VIEW)
-    per_view = rows.groupBy("refdes", "view").agg(
+    per_view = rows.groupBy(*part, "view").agg(
         F.max_by(entry, "grade").alias("entry"), F.max("grade").alias("grade"))
-    parts = per_view.groupBy("refdes").agg(
+    parts = per_view.groupBy(*part).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("view", "entry")))).alias("views"),
         F.max("grade").alias("grade"))
     if not_located is not None:
-        missing = first_per(not_located.select("refdes", "note", "ord"), ["refdes"], [F.col("ord") * -1])
-        parts = parts.join(missing.select("refdes", "note"), "refdes", "full")
+        missing = first_per(not_located.select(*part, "note", "ord"), part, [F.col("ord") * -1])
+        parts = parts.join(missing.select(*part, "note"), part, "full")
     else:
         parts = parts.withColumn("note", F.lit(None).cast("string"))
     # Only a part without an anchor can be unverified, and once it is, a hit changes nothing.
@@ -93,11 +95,11 @@ def merge_sources(schematic: DataFrame, anchors: DataFrame, ai_hits: DataFrame,
               .when(F.col("grade") == 2, "ocr_hit").otherwise("schematic_only"))
     parts = parts.withColumn("status", status).withColumn("type", component_type(F.col("refdes")))
     if names is not None:
-        named = first_per(names.select(F.col("refdes"), "name"), ["refdes"], ["name"])
-        parts = parts.join(named, "refdes", "left")
+        named = first_per(names.select(*part, "name"), part, ["name"])
+        parts = parts.join(named, part, "left")
     else:
         parts = parts.withColumn("name", F.lit(None).cast("string"))
-    return parts.select("refdes", "type", F.coalesce("name", F.lit("")).alias("name"),
+    return parts.select(*part, "type", F.coalesce("name", F.lit("")).alias("name"),
                         F.coalesce("views", F.create_map().cast(f"map<string,{_VIEW}>")).alias("views"),
                         "status", F.coalesce("note", F.lit("")).alias("note"))
 
@@ -127,9 +129,13 @@ def chain_refs(elements: DataFrame, universe: DataFrame, keys: list[str], text:
     return tokens.join(universe.select("refdes").distinct(), "refdes", "left_semi")
 
 
-def chain_elements(refs: DataFrame) -> DataFrame:
-    """``chain_elems`` array per designator; a part stands in a chain a few times."""
-    return refs.groupBy("refdes").agg(F.array_sort(F.collect_set(F.struct("idx", "elem"))).alias("chain_elems"))
+def chain_elements(refs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``chain_elems`` array per designator of a device; equal places are merged first.
+
+    ``by`` names the columns that tell devices apart: within one, a part stands in the
+    chain a few times.
+    """
+    return refs.groupBy(*by, "refdes").agg(F.array_sort(F.collect_set(F.struct("idx", "elem"))).alias("chain_elems"))
 
 
 def category_counts(detections: DataFrame) -> DataFrame:
