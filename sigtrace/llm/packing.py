@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .subwords import separable, units
+from .subwords import lines_of_units, separable
 from .textops import map_arrow, texts
 
 #: Pieces are packed in shards of about so many documents; each leaves at most about one badly filled bin.
@@ -21,48 +22,68 @@ SHARD_DOCS = 8192
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit numbers; units are remembered."""
 
-    MEMO = 300_000
+    MEMO = 600_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes | None] = {}
+        self.first: dict[str, bytes | None] = {}  # ids of a line's first unit
+        self.rest: dict[str, bytes | None] = {}  # ids of a unit with the blank before it
+        self.feed = self.plain(["\n"])[0]
+        blank = chr(256 + 32)  # the letter that byte-level vocabularies write for a blank
+        self.blank = np.array([(self.library.id_to_token(i) or "").startswith(blank) for i in range(self.library.get_vocab_size())])
 
     def plain(self, parts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def many(self, own: list[str | None]) -> list[bytes]:
-        if len(self.memo) > self.MEMO:
-            self.memo.clear()
-        memo, cut = self.memo, [units(t) if t else None for t in own]
-        new = {u for c in cut if c for u in c[0]} | {" " + u for c in cut if c for u in c[1]}
-        new = [u for u in new if u not in memo]
-        good = [u for u in new if separable(u.removeprefix(" "))]
+    def after_blank(self, parts: list[str]) -> list[bytes]:
+        """Ids of units with a blank before each: many at once, cut where a token begins with the blank."""
+        out: list[bytes] = []
+        groups = [parts[i:i + 500] for i in range(0, len(parts), 500)]
+        for group, e in zip(groups, self.library.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            starts = np.flatnonzero(self.blank[ids])
+            if len(starts) != len(group) or starts[0]:
+                out += self.plain([" " + u for u in group])
+            else:
+                data, ends = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                out += [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        return out
+
+    def _learn(self, memo: dict[str, bytes | None], seen: set[str], encode) -> None:
+        new = [u for u in seen if u not in memo]
+        good = [u for u in new if separable(u)]
         memo |= dict.fromkeys(new)
-        memo |= zip(good, self.plain(good), strict=True)
-        feed = self.plain(["\n"])[0]
+        memo |= zip(good, encode(good), strict=True)
+
+    def many(self, own: list[str | None]) -> list[bytes]:
+        first, rest = self.first, self.rest
+        for memo in (first, rest):
+            if len(memo) > self.MEMO:
+                memo.clear()
+        cut = [lines_of_units(t) if t else None for t in own]
+        self._learn(first, {line[0] for c in cut if c for line in c if line}, self.plain)
+        seen: set[str] = set()
+        for c in cut:
+            for line in c or ():
+                seen.update(islice(line, 1, None))
+        self._learn(rest, seen, self.after_blank)
         out: list[bytes] = []
         for t, c in zip(own, cut, strict=True):
             joined = None
             if c:
-                joined = self._join(t, c[2], feed)
+                parts: list[bytes | None] = []
+                for line in c:
+                    parts.append(self.feed)
+                    if line:
+                        parts.append(first[line[0]])
+                        parts.extend(map(rest.__getitem__, islice(line, 1, None)))
+                joined = None if None in parts else b"".join(parts[1:])
             out.append(b"" if not t else self.plain([t])[0] if joined is None else joined)
         return out
 
-    def _join(self, text: str, feeds: int, feed: bytes) -> bytes | None:
-        memo, parts = self.memo, []
-        lines = text.split("\n")
-        for i, line in enumerate(lines):
-            if i:
-                parts.append(feed)
-            if line:
-                own = line.split(" ")
-                parts.append(memo[own[0]])
-                parts += [memo[" " + u] for u in own[1:]]
-        return None if None in parts else b"".join(parts)
-
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:

@@ -9,24 +9,19 @@ irregular one (doubled or other blanks around a cut) is tokenised as a whole.
 from __future__ import annotations
 
 
-def units(text: str) -> tuple[list[str], list[str], int] | None:
-    """(first units of lines, units after a blank, line feeds), or None if irregular.
+def lines_of_units(text: str) -> list[list[str]] | None:
+    """A text's lines as lists of units, or None if it is irregular.
 
-    The order of the text is: line by line a first unit, then its other units.
+    The first unit of a line has no blank before it, the others have one; a line
+    feed at the very end leaves an empty last line.
     """
-    firsts, rest, lines = [], [], text.split("\n")
-    if len(lines) > 1 and not lines[-1] and lines[-2]:
-        lines.pop()  # a line feed at the very end is one piece as well
-        feeds = len(lines)
-    else:
-        feeds = len(lines) - 1
+    lines = [line.split(" ") for line in text.split("\n")]
+    if len(lines) > 1 and lines[-1] == [""] and lines[-2] != [""]:
+        lines[-1] = []
     for line in lines:
-        parts = line.split(" ")
-        if "" in parts:
+        if "" in line:
             return None
-        firsts.append(parts[0])
-        rest += parts[1:]
-    return firsts, rest, feeds
+    return lines
 
 
 def separable(unit: str) -> bool:

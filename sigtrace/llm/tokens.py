@@ -10,7 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .subwords import separable, units
+from .subwords import lines_of_units, separable
 from .textops import map_arrow, raw, texts
 
 #: How byte-level vocabularies split a text before merging (fixed value of the format).
@@ -42,7 +42,8 @@ class Merger:
         special = [t["content"] for t in spec.get("added_tokens") or []]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.pattern = regex.compile(SPLIT)
-        self.memo: dict[str, int | None] = {}
+        self.first: dict[str, int] = {}  # tokens of a line's first unit
+        self.rest: dict[str, int] = {}  # of a unit with the blank before it
         self.pieces: dict[str, int] = {}
 
     def merges(self, piece: bytes) -> int:
@@ -86,35 +87,29 @@ class Merger:
         parts = self.special.split(text) if marks else [text]
         return marks + sum(self.piece(x) for part in parts for x in self.pattern.findall(part))
 
-    def _look(self, key: str) -> int:
-        n = self.memo[key] = self.whole(key) if separable(key.removeprefix(" ")) else -1
+    def _learn(self, memo: dict[str, int], unit: str, lead: str) -> int:
+        if len(memo) >= self.MEMO:
+            memo.clear()
+        n = memo[unit] = self.whole(lead + unit) if separable(unit) else -1
         return n
 
     def count(self, text: str | None) -> int:
+        """Tokens of a text, unit by unit where it is regular; units are remembered."""
         if not text:
             return 0
-        found = units(text)
-        if found is None:
+        lines = lines_of_units(text)
+        if lines is None:
             return self.whole(text)
-        firsts, rest, total = found
-        memo = self.memo
-        if len(memo) > self.MEMO:
-            memo.clear()
-        for u in firsts:
-            n = memo.get(u)
-            if n is None:
-                n = self._look(u)
-            if n < 0:
-                return self.whole(text)
-            total += n
-        for u in rest:
-            key = " " + u
-            n = memo.get(key)
-            if n is None:
-                n = self._look(key)
-            if n < 0:
-                return self.whole(text)
-            total += n
+        total = len(lines) - 1
+        for line in lines:
+            for memo, lead, units in ((self.first, "", line[:1]), (self.rest, " ", line[1:])):
+                for u in units:
+                    n = memo.get(u)
+                    if n is None:
+                        n = self._learn(memo, u, lead)
+                    if n < 0:
+                        return self.whole(text)
+                    total += n
         return total
 
 
