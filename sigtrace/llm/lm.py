@@ -53,19 +53,21 @@ def _ask(docs: DataFrame, bits: int, drop: int) -> DataFrame:
         for part in slices(batch, "text"):
             mark = (TaskContext.get().partitionId() << 32) + _serial()
             ids = _ids(part)
-            own = [lower_words(t) for t in texts(part, "text")]
-            lengths = np.array([len(w) + 1 for w in own], np.int64)
-            tokens = np.full(int(lengths.sum()), END, np.uint64)
-            ends = np.cumsum(lengths)
-            for w, e in zip(own, ends.tolist(), strict=True):
-                tokens[e - 1 - len(w):e - 1] = _hashes.of(w)
-            own = None
+            # words become hashes text by text, so that a slice's words never stand side by side as objects
+            own = [np.append(_hashes.of(lower_words(t)), np.uint64(END)) for t in texts(part, "text")]
+            lengths = np.array(list(map(len, own)), np.int64)
+            tokens = np.concatenate(own)
+            del own
             counted = np.repeat(learned(ids), lengths)
             distinct, sequence = np.unique(tokens, return_inverse=True)
-            rows = [[mark % (1 << bits), TEXT, mark, squeeze_sorted(distinct), b"", squeeze(ids), squeeze(lengths), squeeze(sequence.astype(np.uint32))]]
+            sequence = sequence.astype(np.uint32)
+            rows = [[mark % (1 << bits), TEXT, mark, squeeze_sorted(distinct), b"", squeeze(ids), squeeze(lengths), squeeze(sequence)]]
             asked = [(WORDS, distinct, np.bincount(sequence[counted], minlength=len(distinct)), 0)]
-            pair, back = np.unique(_pairs(tokens, drop), return_inverse=True)
+            pairs = _pairs(tokens, drop)
+            del tokens, sequence
+            pair, back = np.unique(pairs, return_inverse=True)
             asked.append((PAIRS, pair, np.bincount(back[counted], minlength=len(pair)), drop))
+            del pairs, back
             for kind, keys, counts, low in asked:
                 cuts = bounds(keys, bits).tolist()
                 rows += [[b, kind, mark, squeeze_sorted(keys[i:j] >> np.uint64(low)), squeeze(counts[i:j].astype(np.uint32)), b"", b"", b""]
