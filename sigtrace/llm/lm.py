@@ -51,7 +51,8 @@ def _ask(docs: DataFrame, bits: int, drop: int) -> DataFrame:
 
     def work(batch):
         for part in slices(batch, "text"):
-            mark = (TaskContext.get().partitionId() << 32) + _serial()
+            number = _serial()
+            mark = (TaskContext.get().partitionId() << 32) + number
             ids = _ids(part)
             # words become hashes text by text, so that a slice's words never stand side by side as objects
             own = [np.append(_hashes.of(lower_words(t)), np.uint64(END)) for t in texts(part, "text")]
@@ -61,7 +62,7 @@ def _ask(docs: DataFrame, bits: int, drop: int) -> DataFrame:
             counted = np.repeat(learned(ids), lengths)
             distinct, sequence = np.unique(tokens, return_inverse=True)
             sequence = sequence.astype(np.uint32)
-            rows = [[mark % (1 << bits), TEXT, mark, squeeze_sorted(distinct), b"", squeeze(ids), squeeze(lengths), squeeze(sequence)]]
+            rows = [[(TaskContext.get().partitionId() * 31 + number) % (1 << bits), TEXT, mark, squeeze_sorted(distinct), b"", squeeze(ids), squeeze(lengths), squeeze(sequence)]]
             asked = [(WORDS, distinct, np.bincount(sequence[counted], minlength=len(distinct)), 0)]
             pairs = _pairs(tokens, drop)
             del tokens, sequence
