@@ -15,7 +15,7 @@ from sigtrace.llm.textops import keep_rows
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier tells; null texts, texts without letters and unsure ones go."""
     model = langid.train(docs)
-    return keep_rows(docs, lambda own: [bool(model) and not model.judge(t)[2] for t in own])
+    return keep_rows(docs, lambda own: langid.accepted(model, own))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import zstandard
 
 #: A slice ends at so many documents or bytes of text, whichever comes first.
-SLICE_DOCS, SLICE_BYTES = 8192, 12_000_000
+SLICE_DOCS, SLICE_BYTES = 8192, 16_000_000
 #: Documents per bucket of keys.
 BUCKET_DOCS = 1 << 12
 

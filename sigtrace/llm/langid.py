@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,42 @@ def held_out(id_col: str = "doc_id", parts: int = 4, left_out: int = 2) -> Colum
 
 
 def subwords(word: str) -> list[int]:
-    """Hash buckets of a word's runs of 1 to 4 letters, its ends marked, and of the word itself."""
-    marked = f"<{word}>"
-    n = len(marked)
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS
-            for x in {marked[i:i + k] for k in (1, 2, 3, 4) for i in range(n - k + 1)} | {marked}]
+    """Hash buckets of a word's runs of 2 to 4 bytes, its ends marked, and of the word itself."""
+    marked = f"<{word}>".encode("utf-8", "surrogatepass")
+    n, crc = len(marked), zlib.crc32
+    return [crc(marked) % BUCKETS, *[crc(marked[i:i + k]) % BUCKETS for k in (2, 3, 4) for i in range(n - k + 1)]]
+
+
+class WordScores(dict):
+    """Rows of scores by word: the mean of the word's projected subword embeddings; emptied when full."""
+
+    LIMIT = 300_000
+
+    def __init__(self, projected: np.ndarray):
+        super().__init__()
+        self.projected, self.rows = projected.astype(np.float32), np.zeros((self.LIMIT, projected.shape[1]), np.float32)
+
+    def mean(self, own: list[str]) -> np.ndarray:
+        new = [w for w in set(own) if w not in self]
+        if len(self) + len(new) > self.LIMIT:
+            self.clear()
+            new = list(set(own))
+        if len(new) > self.LIMIT:  # more different words in one text than the memo holds
+            return np.array([self._score([w])[0] for w in own], float).mean(0)
+        if new:
+            at = len(self)
+            self.rows[at:at + len(new)] = self._score(new)
+            self.update(zip(new, range(at, at + len(new)), strict=True))
+        return self.rows[np.fromiter(map(self.__getitem__, own), np.int64, len(own))].mean(0, dtype=np.float64)
+
+    def _score(self, own: list[str]) -> np.ndarray:
+        parts = [subwords(w) for w in own]
+        sizes = np.array(list(map(len, parts)))
+        flat = np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum()))
+        return np.add.reduceat(self.projected[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+
+
+_scores: dict = {}
 
 
 @dataclass
@@ -44,30 +76,22 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
-    memo: dict = field(default_factory=dict, repr=False, compare=False)
 
-    def word(self, word: str) -> np.ndarray:
-        """A word's share in the scores: its mean subword embedding through the softmax's weights."""
-        return self.embedding[subwords(word)].mean(0) @ self.softmax
+    def scorer(self) -> WordScores:
+        """The word table of this model; one lives on in a Python worker, from task to task."""
+        key = hash((self.embedding.tobytes(), self.softmax.tobytes()))
+        if _scores.get("key") != key:
+            _scores.update(key=key, table=WordScores(self.embedding @ self.softmax))
+        return _scores["table"]
 
-    def logits(self, text: str | None) -> np.ndarray | None:
+    def logits(self, text: str | None, scorer: WordScores | None = None) -> np.ndarray | None:
         """Scores of a whole text, its words weighing alike; None without a letter."""
         own = LETTERS.findall(text.lower()) if text else []
-        if not own:
-            return None
-        if len(self.memo) > 200_000:
-            self.memo.clear()
-        memo, rows = self.memo, []
-        for w in own:
-            v = memo.get(w)
-            if v is None:
-                v = memo[w] = tuple(self.word(w).tolist())
-            rows.append(v)
-        return np.array(rows).mean(0) + self.bias
-
-    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        return (scorer or self.scorer()).mean(own) + self.bias if own else None
+
+    def judge(self, text: str | None, scorer: WordScores | None = None) -> tuple[str, float, bool]:
         """(language or und, calibrated probability, rejected)."""
-        z = self.logits(text)
+        z = self.logits(text, scorer)
         if z is None:
             return "und", 0.0, True
         p = _soft(z[None] / self.temperature)[0]
@@ -132,6 +156,12 @@ def _calibrate(model: LanguageModel, examples: list[tuple[list[str], int]]) -> N
         model.threshold = float(min(0.5, right[int(REJECT_RATE * len(right))]) * 0.9)
 
 
+def accepted(model: LanguageModel | None, own: list[str | None]) -> list[bool]:
+    """Whether each text's language is told with enough confidence."""
+    scorer = model.scorer() if model else None
+    return [bool(model) and not model.judge(t, scorer)[2] for t in own]
+
+
 def train(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", rows: int = FIT_ROWS) -> LanguageModel | None:
     """Fit on at most ``rows`` labelled rows outside the held-out quarter; None if there are none."""
     able = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
@@ -151,7 +181,8 @@ def identify(df: DataFrame, model: LanguageModel | None, text_col: str = "text",
     an empty table gives no rows; other columns are not read.
     """
     def work(batch):
-        judged = [model.judge(t) if model else ("und", 0.0, True) for t in texts(batch, text_col)]
+        scorer = model.scorer() if model else None
+        judged = [model.judge(t, scorer) if model else ("und", 0.0, True) for t in texts(batch, text_col)]
         lang, score, rejected = zip(*judged, strict=True)
         at = batch.schema.get_field_index
         yield pa.RecordBatch.from_arrays(

@@ -22,7 +22,7 @@ SHARD_DOCS = 8192
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit numbers; units are remembered."""
 
-    MEMO = 600_000
+    MEMO = 400_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -29,7 +29,7 @@ def lower_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes by word; a bounded memo, emptied when full."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 
