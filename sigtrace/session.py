@@ -15,6 +15,8 @@ TUNING = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # texts may be long: smaller batches keep Python workers small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
 }
 
 
