@@ -63,13 +63,13 @@ def bounds(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, firsts), [len(keys)]]).astype(np.int64)
 
 
-def slices(batch: pa.RecordBatch, text_col: str):
+def slices(batch: pa.RecordBatch, text_col: str, most: int = SLICE_BYTES):
     """Runs of rows of a batch that are small enough to be worked on at once."""
     texts = batch.column(batch.schema.get_field_index(text_col))
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
     start, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if i > start and (i - start >= SLICE_DOCS or total + n > SLICE_BYTES):
+        if i > start and (i - start >= SLICE_DOCS or total + n > most):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n

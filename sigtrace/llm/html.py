@@ -18,7 +18,7 @@ from .textops import map_arrow, texts
 FIT_PAGES = 300
 #: Only while fitting, a page longer than this is cut into pages of so many blocks.
 FIT_BLOCKS = 60
-PATH_BUCKETS, PATH_WIDTH, WORD_BUCKETS, WORD_WIDTH, HIDDEN, EPOCHS, SEED = 1024, 12, 2048, 6, 16, 5, 3
+PATH_BUCKETS, PATH_WIDTH, WORD_BUCKETS, WORD_WIDTH, HIDDEN, EPOCHS, STEPS, SEED = 1024, 12, 2048, 6, 16, 5, 150, 3
 
 #: Elements that begin and end blocks; elements without content; elements whose content is no text of the page.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -292,7 +292,7 @@ def fit(pages: list[str], seed: int = SEED) -> Labeller:
     model = Labeller(seed)
     first, second = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2))
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS // -(-len(examples) // 32)))):
         order = rng.permutation(len(examples))
         for at in range(0, len(order), 32):
             group = sorted(order[at:at + 32].tolist())

@@ -23,17 +23,17 @@ from sigtrace.session import cut
 
 from .blobs import bounds, bucket_bits, key_bits, slices, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 from .linking import components
-from .textops import WordHashes, chain, lower_words, map_arrow, texts
+from .textops import chain, lower_words, map_arrow, texts, word_hashes
 
 #: Ids of possible partners are broadcast up to so many (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: A block with more sets is worked on in tiles of so many.
 TILE = 1000
+#: Text worked on at once; a slice's sets take several times as much.
+SLICE_BYTES = 8_000_000
 NO_ID = -(1 << 63)
 SHARED = 0xFFFF
 
-_hashes = WordHashes()
-
 
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     """Sorted distinct hashes of runs of ``size`` words; a shorter text is one run, an empty one none."""
@@ -42,7 +42,7 @@ def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(own) < size:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(own), seed=len(own))], np.uint64)
-    return np.unique(chain(_hashes.of(own), size))
+    return np.unique(chain(word_hashes().of(own), size))
 
 
 def digest(shingles: np.ndarray) -> int:
@@ -58,7 +58,7 @@ def _requests(docs: DataFrame, size: int, bits: int, drop: int) -> DataFrame:
     names = ["bucket", "keys", "owner", "ids", "n", "digest", "row"]
 
     def work(batch):
-        for k, part in enumerate(slices(batch, "text")):
+        for k, part in enumerate(slices(batch, "text", SLICE_BYTES)):
             ids, sets = _ids(part), [shingle_set(t, size) for t in texts(part, "text")]
             n = np.array([len(s) for s in sets], np.int64)
             keys, owner = np.concatenate(sets) >> np.uint64(drop) << np.uint64(drop), np.repeat(np.arange(len(sets), dtype=np.uint16), n)
@@ -257,7 +257,7 @@ def _nodes(docs: DataFrame, able: DataFrame, size: int) -> DataFrame:
     ids = F.broadcast(able) if able.count() <= BROADCAST_IDS else able
 
     def work(batch):
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE_BYTES):
             seen, rows = set(), []
             for i, t in zip(part.column(0).to_pylist(), texts(part, "text"), strict=True):
                 own = shingle_set(t, size)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .textops import map_arrow, texts
+from .textops import held, map_arrow, texts
 
 #: The classifier is fitted on at most so many labelled rows, chosen by a hash of the id; each with its whole text.
 FIT_ROWS = 3000
@@ -63,9 +63,6 @@ class WordScores(dict):
         return np.add.reduceat(self.projected[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
 
 
-_scores: dict = {}
-
-
 @dataclass
 class LanguageModel:
     """Embeddings by bucket, a softmax over languages, a temperature and a threshold."""
@@ -80,9 +77,7 @@ class LanguageModel:
     def scorer(self) -> WordScores:
         """The word table of this model; one lives on in a Python worker, from task to task."""
         key = hash((self.embedding.tobytes(), self.softmax.tobytes()))
-        if _scores.get("key") != key:
-            _scores.update(key=key, table=WordScores(self.embedding @ self.softmax))
-        return _scores["table"]
+        return held(("language", key), lambda: WordScores(self.embedding @ self.softmax))
 
     def logits(self, text: str | None, scorer: WordScores | None = None) -> np.ndarray | None:
         """Scores of a whole text, its words weighing alike; None without a letter."""
@@ -153,7 +148,7 @@ def _calibrate(model: LanguageModel, examples: list[tuple[list[str], int]]) -> N
     p = _soft(z / model.temperature)
     right = np.sort(p.max(1)[p.argmax(1) == y])
     if len(right):
-        model.threshold = float(min(0.5, right[int(REJECT_RATE * len(right))]) * 0.9)
+        model.threshold = float(min(0.5, right[int(REJECT_RATE * len(right))]) * 0.7)
 
 
 def accepted(model: LanguageModel | None, own: list[str | None]) -> list[bool]:

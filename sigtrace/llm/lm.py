@@ -21,7 +21,7 @@ from sigtrace.session import cut
 
 from .blobs import bounds, bucket_bits, key_bits, slices, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 from .jaccard import NO_ID, _ids, _serial
-from .textops import WordHashes, chain, lower_words, map_arrow, texts
+from .textops import chain, lower_words, map_arrow, texts, word_hashes
 
 PARTS, LEFT_OUT = 7, 2
 #: The token that ends a text and stands before its first word; no word hashes to it but by chance.
@@ -30,8 +30,6 @@ END = 1
 FINE, ROUNDS = 4, 60
 WORDS, PAIRS, TEXT, TOTAL = 0, 1, 2, 3
 
-_hashes = WordHashes()
-
 
 def learned(ids: np.ndarray, parts: int = PARTS, left_out: int = LEFT_OUT) -> np.ndarray:
     """Whether a document with this id is learned from; a null id is."""
@@ -50,12 +48,13 @@ def _ask(docs: DataFrame, bits: int, drop: int) -> DataFrame:
     kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
 
     def work(batch):
+        hashes = word_hashes()
         for part in slices(batch, "text"):
             number = _serial()
             mark = (TaskContext.get().partitionId() << 32) + number
             ids = _ids(part)
             # words become hashes text by text, so that a slice's words never stand side by side as objects
-            own = [np.append(_hashes.of(lower_words(t)), np.uint64(END)) for t in texts(part, "text")]
+            own = [np.append(hashes.of(lower_words(t)), np.uint64(END)) for t in texts(part, "text")]
             lengths = np.array(list(map(len, own)), np.int64)
             tokens = np.concatenate(own)
             del own

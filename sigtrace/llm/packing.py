@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -13,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .subwords import lines_of_units, separable
-from .textops import map_arrow, texts
+from .textops import held, map_arrow, texts
 
 #: Pieces are packed in shards of about so many documents; each leaves at most about one badly filled bin.
 SHARD_DOCS = 8192
@@ -85,9 +84,8 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def pieces(df: DataFrame, path: str, size: int = 2048, text_col: str = "text", id_col: str = "doc_id", end_id: int = 0) -> DataFrame:

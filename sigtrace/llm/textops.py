@@ -43,6 +43,24 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, parts), np.uint64, len(parts))
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable[[], object]):
+    """What ``make`` gives, kept in the Python worker under ``key``; anything kept under another key goes first.
+
+    So a worker that serves one operator after the other holds one memo at a time.
+    """
+    if _held.get("key") != key:
+        _held.clear()
+        _held.update(key=key, value=make())
+    return _held["value"]
+
+
+def word_hashes() -> WordHashes:
+    return held("word hashes", WordHashes)
+
+
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import heapq
 import json
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from .subwords import lines_of_units, separable
-from .textops import map_arrow, raw, texts
+from .textops import held, map_arrow, raw, texts
 
 #: How byte-level vocabularies split a text before merging (fixed value of the format).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -113,10 +112,9 @@ class Merger:
         return total
 
 
-@lru_cache(maxsize=2)
 def merger(path: str) -> Merger:
     """One per Python worker, so that its memo lives on from batch to batch."""
-    return Merger(path)
+    return held(("merger", path), lambda: Merger(path))
 
 
 def token_counts(df: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", limit: int = 1024) -> DataFrame:
