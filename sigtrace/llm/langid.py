@@ -37,7 +37,7 @@ def subwords(word: str) -> list[int]:
 class WordScores(dict):
     """Rows of scores by word: the mean of the word's projected subword embeddings; emptied when full."""
 
-    LIMIT = 300_000
+    LIMIT = 200_000
 
     def __init__(self, projected: np.ndarray):
         super().__init__()

@@ -21,7 +21,7 @@ SHARD_DOCS = 8192
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit numbers; units are remembered."""
 
-    MEMO = 400_000
+    MEMO = 300_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -100,8 +100,8 @@ def pieces(df: DataFrame, path: str, size: int = 2048, text_col: str = "text", i
         ids = batch.column(batch.schema.get_field_index(id_col))
         rows: list[list] = [[], [], [], [], []]
         own = texts(batch, text_col)
-        for at in range(0, len(own), 1000):
-            for i, data in enumerate(encoder(path).many(own[at:at + 1000]), at):
+        for at in range(0, len(own), 250):
+            for i, data in enumerate(encoder(path).many(own[at:at + 250]), at):
                 data = memoryview(data + end)
                 n, start, k = len(data) // 4, 0, 0
                 stop = n - (n - 1) // size * size

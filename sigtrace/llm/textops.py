@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ def lower_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes by word; a bounded memo, emptied when full."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
@@ -53,6 +54,7 @@ def held(key, make: Callable[[], object]):
     """
     if _held.get("key") != key:
         _held.clear()
+        give_back()
         _held.update(key=key, value=make())
     return _held["value"]
 
@@ -75,12 +77,22 @@ def chain(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that idle Python workers stay small between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Apply ``work`` to every Arrow batch; empty batches are skipped."""
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 yield from work(batch)
+        batch = None
+        give_back()
     return df.mapInArrow(run, schema)
 
 
