@@ -98,7 +98,7 @@ def islands(df: DataFrame, keys: list[str], pos: str, chunk: int = 4096) -> Data
               .withColumn("_group", F.col(pos) - F.row_number().over(place))
               .groupBy(*keys, "_chunk", "_group")
               .agg(F.min(pos).alias("lo"), F.max(pos).alias("hi")))
-    at_border = (F.col("lo") % chunk == 0) | (F.col("hi") % chunk == chunk - 1)
+    at_border = (F.pmod("lo", F.lit(chunk)) == 0) | (F.pmod("hi", F.lit(chunk)) == chunk - 1)
     inner = pieces.filter(~at_border).select(*keys, "lo", "hi")
     line = Window.partitionBy(*keys).orderBy("lo")
     linked = (pieces.filter(at_border).select(*keys, "lo", "hi")

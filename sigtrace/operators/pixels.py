@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import colour
@@ -124,8 +124,9 @@ def main_net(nets: DataFrame, min_share: float = 0.5) -> DataFrame:
 
 
 def top_nets(nets: DataFrame, n: int = 5000) -> DataFrame:
-    """Report of the largest nets."""
-    return nets.orderBy(F.col("area").desc(), "page_id", "label").limit(n)
+    """Report of the ``n`` largest nets of each page."""
+    place = Window.partitionBy("page_id").orderBy(F.col("area").desc(), "label")
+    return nets.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= n).drop("_place")
 
 
 def board_bbox(labelled_runs: DataFrame) -> DataFrame:
@@ -145,19 +146,19 @@ def dark_core(labelled: DataFrame, share: float = 0.25) -> DataFrame:
 
 def luminance_core(masked: DataFrame, threshold: int = 120, legend: DataFrame | None = None,
                    adaptive: bool = False) -> DataFrame:
-    """Masked pixels darker than one limit, their colour's legend sample or its median.
+    """Masked pixels darker than one limit, their colour's legend sample or its median on their page.
 
     ``masked`` has ``colour``; ``legend`` has ``colour, b, g, r``.
     """
     lit = masked.withColumn("luma", grey())
     if legend is None and not adaptive:
         return lit.filter(F.col("luma") < threshold)
-    limits = lit.groupBy("colour").agg(F.median("luma").alias("limit"))
+    limits = lit.groupBy("page_id", "colour").agg(F.median("luma").alias("limit"))
     if legend is not None:
         weight = F.col("r") * 0.299 + F.col("g") * 0.587 + F.col("b") * 0.114
         samples = legend.select("colour", weight.alias("_sample")).groupBy("colour").agg(F.max("_sample").alias("_sample"))
-        limits = limits.join(samples, "colour", "left").select("colour", F.coalesce("_sample", "limit").alias("limit"))
-    return lit.join(limits, "colour").filter("luma < limit")
+        limits = limits.join(samples, "colour", "left").select("page_id", "colour", F.coalesce("_sample", "limit").alias("limit"))
+    return lit.join(limits, ["page_id", "colour"]).filter("luma < limit")
 
 
 DEFAULT_INK = 30

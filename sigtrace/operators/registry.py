@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
@@ -184,10 +184,14 @@ def inside_board(df: DataFrame, boards: DataFrame) -> DataFrame:
     return df.join(boards.select("view_name", "bx0", "by0", "bx1", "by1"), "view_name").filter(inside).select(*df.columns)
 
 
-def by_category(detections: DataFrame, categories: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """Detections of the wanted classes; ``limit`` takes the first by ``idx``."""
+def by_category(detections: DataFrame, categories: list[str] | None = None, limit: int | None = None,
+                keys: tuple[str, ...] = ("view_name",)) -> DataFrame:
+    """Detections of the wanted classes; ``limit`` takes the first by ``idx`` of each of ``keys``."""
     out = detections if categories is None else detections.filter(F.col("category").isin(categories))
-    return out if limit is None else out.orderBy("idx").limit(limit)
+    if limit is None:
+        return out
+    place = Window.partitionBy(*keys).orderBy("idx")
+    return out.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= limit).drop("_place")
 
 
 def shape_filter(df: DataFrame, area=(300, 200000), aspect_max=10.0, fill_min=0.4, side_min=5) -> DataFrame:

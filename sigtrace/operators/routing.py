@@ -12,7 +12,6 @@ from ..session import cut
 
 # Vertical offsets of detours, separation of parallel lines, score weights.
 DETOURS = [-400, -200, -100, -50, 50, 100, 200, 400]
-MAX_CANDIDATES = 12
 MIN_SEPARATION = 20
 CROSSING_WEIGHT, PROXIMITY_WEIGHT, LABEL_WEIGHT, LENGTH_WEIGHT = 10, 8, 5, 0.02
 OUTLINE_W, OUTLINE_H, OUTLINE_STROKE = 220, 160, 3
@@ -33,7 +32,7 @@ def route_candidates(edges: DataFrame) -> DataFrame:
     bent = [F.array(start, geo.point(x1, y2), end), F.array(start, geo.point(x2, y1), end)]
     bent += [F.array(start, geo.point(x1, y1 + d), geo.point(x2, y1 + d), end) for d in DETOURS]
     aligned = (x1 == x2) | (y1 == y2)
-    routes = F.when(aligned, F.array(F.array(start, end))).otherwise(F.array(*bent[:MAX_CANDIDATES]))
+    routes = F.when(aligned, F.array(F.array(start, end))).otherwise(F.array(*bent))
     out = edges.select("*", F.posexplode(routes).alias("cand", "points"))
     return out.withColumn("length", geo.route_length(F.col("points")))
 

@@ -165,7 +165,8 @@ def q_nets(ev):
 
 @query("q_top_nets", f"""WITH {_LABELS.format(src=_DARK_PX)}
     SELECT page_id, label, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM cc
-    GROUP BY page_id, label ORDER BY area DESC, page_id, label LIMIT 5000""", recursive=True)
+    GROUP BY page_id, label
+    QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY count(*) DESC, label) <= 5000""", recursive=True)
 def q_top_nets(ev):
     nets = pixels.net_stats(graph.label_runs(pixels.dark_mask(ev.v_pixel, DARK)))
     return pixels.top_nets(nets.withColumn("label", raster(F.col("label"))))
@@ -227,11 +228,11 @@ _CLASSED = """m AS (SELECT page_id, x, y, l, CASE WHEN g > 120 AND r < 110 AND b
 
 
 @query("q_lum_core", f"""WITH {_CLASSED},
-    t AS (SELECT colour, median(l) AS med FROM m WHERE colour IS NOT NULL GROUP BY colour),
+    t AS (SELECT page_id, colour, median(l) AS med FROM m WHERE colour IS NOT NULL GROUP BY page_id, colour),
     i AS (SELECT page_id, CAST(floor(median(b) FILTER ({_LUMA} < 150 AND {_DIFF} <= 40)) AS INTEGER) AS ink FROM v_pixel GROUP BY page_id)
     SELECT m.page_id, m.colour, count(*) FILTER (m.l < 120) AS fixed, count(*) FILTER (m.l < t.med) AS adaptive,
       count(*) FILTER (m.l < CASE WHEN m.colour = 'green' THEN 121.5 ELSE t.med END) AS sampled, coalesce(any_value(i.ink), 30) AS ink
-    FROM m JOIN t ON m.colour = t.colour JOIN i ON m.page_id = i.page_id GROUP BY m.page_id, m.colour""")
+    FROM m JOIN t ON m.page_id = t.page_id AND m.colour = t.colour JOIN i ON m.page_id = i.page_id GROUP BY m.page_id, m.colour""")
 def q_lum_core(ev):
     masked = ev.v_pixel.withColumn("colour", colour.colour_class()).filter("colour is not null")
     legend = ev.spark.createDataFrame([("green", 0, 0, 0)], "colour string, b int, g int, r int").select(
