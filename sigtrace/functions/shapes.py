@@ -20,29 +20,27 @@ def circularity(area: Column, perimeter: Column) -> Column:
     return round_even(F.lit(4 * math.pi) * area / (perimeter * perimeter), 3)
 
 
-# Area bands of board rectangles, largest first, as (bound kind, lowest
-# area, [(aspect test, aspect limit, lowest fill, class)], class if no test holds).
-RECT_BANDS = [
-    ("above", 50000, [("<", 4, 0.85, "ic")], "large_passive"),
-    ("from", 5000, [("<", 4, 0.85, "ic"), (">=", 4, 0.7, "resistor"), ("<", 3, 0.8, "inductor")],
-     "medium_passive"),
-    ("from", 1000, [(">=", 4, 0.6, "resistor"), ("<", 3, 0.75, "capacitor")], "small_passive"),
-    ("from", 300, [(">=", 3, None, "trace_segment")], "tiny_passive"),
-]
+# Lowest areas of board rectangles (the huge ones lie above theirs), aspects and
+# share of the board.
+HUGE_AREA, LARGE_AREA, MIDDLE_AREA, SMALL_AREA = 50000, 5000, 1000, 300
+SLENDER, SQUAT = 4, 3
 BOARD_SHARE = 0.5
 
 
 def classify_rect(area: Column, aspect: Column, fill: Column, board_area) -> Column:
-    ladder = F.when(area > _lit(board_area) * BOARD_SHARE, "board")
-    for bound, low, rules, default in RECT_BANDS:
-        band = area > low if bound == "above" else area >= low
-        for op, limit, min_fill, name in rules:
-            test = aspect < limit if op == "<" else aspect >= limit
-            if min_fill is not None:
-                test = test & (fill > min_fill)
-            ladder = ladder.when(band & test, name)
-        ladder = ladder.when(band, default)
-    return ladder.otherwise("unknown")
+    """Part class of a board rectangle by its size, aspect and how much of its box it fills."""
+    large = (area >= LARGE_AREA) & (area <= HUGE_AREA)
+    middle = (area >= MIDDLE_AREA) & (area < LARGE_AREA)
+    small = (area >= SMALL_AREA) & (area < MIDDLE_AREA)
+    slender, squat = aspect >= SLENDER, aspect < SQUAT
+    return (F.when(area > _lit(board_area) * BOARD_SHARE, "board")
+            .when((area >= LARGE_AREA) & ~slender & (fill > 0.85), "ic")
+            .when(slender & ((large & (fill > 0.7)) | (middle & (fill > 0.6))), "resistor")
+            .when(squat & large & (fill > 0.8), "inductor")
+            .when(squat & middle & (fill > 0.75), "capacitor")
+            .when(~squat & small, "trace_segment")
+            .when(area > HUGE_AREA, "large_passive").when(large, "medium_passive")
+            .when(middle, "small_passive").when(small, "tiny_passive").otherwise("unknown"))
 
 
 # Fixed value: area above which a middle-sized circle is a crystal.

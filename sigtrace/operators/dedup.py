@@ -87,45 +87,50 @@ class _Grid:
 
 
 def greedy_nms(df: DataFrame, order: list[str], cx: Column, cy: Column, tx: Column,
-               ty: Column | None = None, shape: str = "box", max_rounds: int = 1000) -> DataFrame:
+               ty: Column | None = None, shape: str = "box") -> DataFrame:
     """Add ``kept``, ``kept_by`` and ``rounds``: which rows first-wins de-duplication keeps.
 
     Rows conflict if their centres differ by less than the larger ``tx`` and ``ty``
     (``box``) or lie closer than the larger ``tx`` (``circle``).  ``order`` must be
     unique per page.  ``kept_by`` is the order struct of the first kept row that a
-    dropped one conflicts with; for a kept row it is its own.
+    dropped one conflicts with; for a kept row it is its own.  A row without a size
+    conflicts only with larger ones, a row without a place with none; rows without
+    a page are left out.
     """
     ty = tx if ty is None else ty
     shrink = 2 ** -0.5 if shape == "circle" else 1.0
     work = df.select(
         "page_id", F.struct(*order).alias("prio"), cx.cast("double").alias("cx"), cy.cast("double").alias("cy"),
-        tx.cast("double").alias("tx"), ty.cast("double").alias("ty"))
+        F.coalesce(tx.cast("double"), F.lit(0.0)).alias("tx"), F.coalesce(ty.cast("double"), F.lit(0.0)).alias("ty"))
+    work = work.filter("page_id IS NOT NULL")
     work = work.withColumn("kx", _class(F.col("tx"))).withColumn("ky", _class(F.col("ty")))
     # A cell as wide as the smallest distance of its class holds only rows that conflict.
     low = lambda k: F.pow(F.lit(BASE), F.col(k)) * shrink
     work = (work.withColumn("gx", F.floor(F.col("cx") / low("kx"))).withColumn("gy", F.floor(F.col("cy") / low("ky"))))
-    work = cut(work)
+    # Rows too small for that, or nowhere, are each the first of their own cell.
+    tiny = (F.least("tx", "ty") < BASE ** _POWERS[0]) | F.col("cx").isNull() | F.col("cy").isNull()
+    work = cut(work.withColumn("alone", F.when(tiny, F.col("prio"))))
     grid = _Grid(work, shape)
     left, kept, rounds = work, [], 0
     while not left.isEmpty():
         rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"de-duplication not finished after {max_rounds} rounds")
-        first = (left.groupBy("page_id", "kx", "ky", "gx", "gy")
+        first = (left.groupBy("page_id", "kx", "ky", "gx", "gy", "alone")
                  .agg(F.min_by(F.struct("prio", "cx", "cy", "tx", "ty"), "prio").alias("_f"))
                  .select("page_id", "kx", "ky", "_f.*"))
         met = cut(grid.conflicts(left, first))
         blocked = met.filter("prio < k_prio").select("page_id", F.col("k_prio").alias("prio")).distinct()
+        # The first open row of a page is never blocked, so every round decides at least one.
         keep = first.select("page_id", "prio").join(blocked, ["page_id", "prio"], "left_anti")
-        by_kept = met.join(keep.withColumnRenamed("prio", "k_prio"), ["page_id", "k_prio"], "left_semi")
-        fate = by_kept.groupBy("page_id", "prio").agg(F.bool_or(F.col("prio") == F.col("k_prio")).alias("_kept"))
+        dropped = met.filter("prio <> k_prio").join(keep.withColumnRenamed("prio", "k_prio"), ["page_id", "k_prio"], "left_semi")
+        fate = (keep.withColumn("_kept", F.lit(True))
+                .unionByName(dropped.select("page_id", "prio").distinct().withColumn("_kept", F.lit(False))))
         state = cut(left.join(fate, ["page_id", "prio"], "left"))
         kept.append(state.filter("_kept").drop("_kept"))
         left = state.filter("_kept is null").drop("_kept")
     winners = reduce(DataFrame.unionByName, kept) if kept else work
-    by = (grid.conflicts(work, winners).filter("k_prio <= prio")
-          .groupBy("page_id", "prio").agg(F.min("k_prio").alias("kept_by"))) if kept else work.select(
-        "page_id", "prio", F.col("prio").alias("kept_by"))
+    own = winners.select("page_id", "prio", F.col("prio").alias("k_prio"))
+    met = grid.conflicts(work, winners).filter("k_prio < prio").unionByName(own) if kept else own
+    by = met.groupBy("page_id", "prio").agg(F.min("k_prio").alias("kept_by"))
     by = by.withColumn("kept", F.col("kept_by") == F.col("prio")).withColumn("rounds", F.lit(rounds))
     return (df.withColumn("prio", F.struct(*order)).join(by, ["page_id", "prio"])
             .select(*df.columns, "kept", "kept_by", "rounds"))

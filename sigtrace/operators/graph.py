@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .runs import TILE, runs
 
-ROW_BITS = 24  # a run's id is its row and start column packed into one long
+ROW_BITS = 32  # a run's id is its row and start column, each an int, packed into one long
 
 
 def with_node(run_rows: DataFrame) -> DataFrame:
-    """Add ``node``; ids order runs by row, then by start, within a page."""
-    return run_rows.withColumn("node", F.shiftleft(F.col("pos").cast("long"), ROW_BITS) + F.col("lo"))
+    """Add ``node``; ids order runs by row, then by start, within a page.
+
+    No two places share an id; a place beyond the range of ints is an error.
+    """
+    half = 1 << (ROW_BITS - 1)
+    fits = F.col("pos").between(-half, half - 1) & F.col("lo").between(-half, half - 1)
+    node = F.shiftleft(F.col("pos").cast("long"), ROW_BITS) + F.col("lo")
+    return run_rows.withColumn("node", F.when(fits, node).otherwise(F.raise_error(F.lit("place beyond 32 bits")).cast("long")))
 
 
 def run_edges(nodes: DataFrame) -> DataFrame:
@@ -36,7 +42,7 @@ def run_edges(nodes: DataFrame) -> DataFrame:
             .select("page_id", "a", "b").distinct())
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Label each ``node`` with the smallest node of its component.
 
     Alternating large-star and small-star steps: neighbours larger than a node move
@@ -45,14 +51,12 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
     """
     e = edges.select("page_id", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
     e = cut(e.distinct())
-    before, rounds = None, 0
+    before = None
     while True:
         print_of = e.agg(F.count("*"), F.bit_xor(F.xxhash64("page_id", "u", "v"))).first()
         if print_of == before or print_of[0] == 0:
             break
-        before, rounds = print_of, rounds + 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"components not stable after {max_rounds} rounds")
+        before = print_of
         both = e.unionByName(e.select("page_id", F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("page_id", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (both.filter("v > u").join(low, ["page_id", "u"])
@@ -80,12 +84,11 @@ def label_pixels(mask: DataFrame, labelled: DataFrame | None = None) -> DataFram
     return mask.join(cells, ["page_id", "x", "y"])
 
 
-def hop_distance(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000,
-                 steps: int = 4) -> DataFrame:
+def hop_distance(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, steps: int = 4) -> DataFrame:
     """Breadth-first hops over runs from each page's seed ``page_id, node``.
 
-    Returns the reached nodes with ``dist``.  ``steps`` levels run per job; reaching
-    ``max_rounds`` is an error, never a silent cut.
+    Returns the reached nodes with ``dist``.  ``steps`` levels run per job, until
+    no node is left to reach.
     """
     ways = [edges.select(F.col("page_id").alias("_p"), F.col(s).alias("_from"), F.col(t).alias("_to"))
             for s, t in (("a", "b"), ("b", "a"))]
@@ -109,8 +112,6 @@ def hop_distance(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_round
         front = block.filter(F.col("dist") == level)
         if front.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        if level >= max_rounds:
-            raise RuntimeError(f"line not exhausted after {max_rounds} hops")
         recent = block.filter(F.col("dist") >= level - 1) if steps > 1 else done[-2].unionByName(block)
 
 
@@ -152,16 +153,14 @@ def wire_bridges(regions: DataFrame, wires: DataFrame, min_wires: int = 2) -> Da
             .agg(F.count("*").alias("wires")).withColumn("bridge", F.col("wires") >= min_wires))
 
 
-def greedy_matching(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def greedy_matching(edges: DataFrame) -> DataFrame:
     """Pairs ``page_id, i, j`` chosen in order of (i, j), each end used once.
 
-    Per round an edge is chosen if it is the first one left at both of its ends.
+    Per round an edge is chosen if it is the first one left at both of its ends,
+    so the first of a page always is.  A node never pairs with itself.
     """
-    left, chosen, rounds = cut(edges.select("page_id", "i", "j")), [], 0
+    left, chosen = cut(edges.filter("page_id IS NOT NULL AND i <> j").select("page_id", "i", "j")), []
     while not left.isEmpty():
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"matching not finished after {max_rounds} rounds")
         edge = F.struct("i", "j")
         ends = left.select("page_id", edge.alias("e"), F.explode(F.array("i", "j")).alias("at"))
         first = ends.groupBy("page_id", "at").agg(F.min("e").alias("e"))

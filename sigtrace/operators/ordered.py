@@ -40,9 +40,15 @@ def _rank_by_ranges(df: DataFrame, keys: list[str], order: list[Column], out: st
     return ranked.select(*df.columns, out)
 
 
+def _total(df: DataFrame, order: list[Column]) -> list[Column]:
+    """``order`` with all columns as last keys: rows that still tie are equal, so every plan ranks them alike."""
+    return [*order, *[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]]
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank",
                 hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Dense 1-based position of each row within its key; ``order`` must be total."""
+    """Dense 1-based position of each row within its key; ties go by the other columns."""
+    order = _total(df, order)
     window = Window.partitionBy(*keys).orderBy(*order)
     number = F.row_number().over(window).cast("long").alias(out)
     hot = hot_keys(df, keys, hot_rows)
@@ -56,6 +62,7 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], out: str =
 def with_neighbour(df: DataFrame, keys: list[str], order: list[Column], step: int,
                    columns: dict[str, str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add values of the row ``step`` places later (earlier if negative) within its key."""
+    order = _total(df, order)
     hot = hot_keys(df, keys, hot_rows)
     window = Window.partitionBy(*keys).orderBy(*order)
     plain = [F.lead(src, step).over(window).alias(dst) for src, dst in columns.items()]

@@ -184,7 +184,7 @@ def first_n_areas(nets: DataFrame, n: int) -> DataFrame:
     return top.groupBy("page_id").agg(F.sum("area").alias("top_area"), F.count("*").alias("top_n"))
 
 
-def cleanup_metrics(before_runs: DataFrame, after: DataFrame, after_main_runs: DataFrame | None = None,
+def cleanup_metrics(before_runs: DataFrame, after: DataFrame,
                     dark: int = 150, diff: int = 40, pale=(10, 40)) -> DataFrame:
     """How a cleaned page compares with the original, per page.
 

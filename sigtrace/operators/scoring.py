@@ -51,7 +51,8 @@ def _neutral() -> Column:
 def truth_score(events: DataFrame, start: int = START_SCORE, chunk: int = FOLD_CHUNK) -> DataFrame:
     """Fold each fact's events in time order into a score within 0..100 and its tier.
 
-    ``events``: fact, ts, seq, kind.  Events compose like functions, so a long history
+    ``events``: fact, ts, seq, kind.  Events with equal ts and seq apply the worst
+    effect first, so the score never depends on ``chunk``.  Events compose like functions, so a long history
     is folded in ordered chunks, then the chunks likewise: no task or array ever holds
     more than ``chunk`` events, however many one fact has.
     """
@@ -64,7 +65,7 @@ def truth_score(events: DataFrame, start: int = START_SCORE, chunk: int = FOLD_C
         return grouped.agg(F.aggregate(steps, _neutral(), lambda acc, s: _then(acc, s["f"])).alias("f"))
 
     while longest > chunk:
-        ranked = rank_within(rows, ["fact"], [F.col("at")], "_rank")
+        ranked = rank_within(rows, ["fact"], [F.col("at"), F.col("f")], "_rank")
         ranked = ranked.withColumn("_c", F.floor((F.col("_rank") - 1) / chunk))
         rows = fold(ranked.groupBy("fact", "_c")).select("fact", F.col("_c").alias("at"), "f")
         longest = -(-longest // chunk)

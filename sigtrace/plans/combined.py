@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from ..functions import geometry as geo
 from ..functions.text import component_type
 from ..operators import associate, registry, routing, scoring
 from ..operators.ordered import first_per
+from ..session import shared_dir
 from ..streaming import rounds
 from .bindings import Evidence
 from .catalogue import query
@@ -96,7 +96,7 @@ def q_waypoints(ev):
 
 # Scores ------------------------------------------------------------------------------
 
-_TRUTH = """tr AS (SELECT fact, count(*) AS events, list_reduce(list_prepend(80, list(CASE kind WHEN 'human' THEN 1000 WHEN 'ok' THEN 10 WHEN 'fail' THEN -20 ELSE -30 END ORDER BY ts, seq)),
+_TRUTH = """tr AS (SELECT fact, count(*) AS events, list_reduce(list_prepend(80, list(CASE kind WHEN 'human' THEN 1000 WHEN 'ok' THEN 10 WHEN 'fail' THEN -20 ELSE -30 END ORDER BY ts, seq, kind)),
       lambda a, b: CASE WHEN b = 1000 THEN 100 ELSE greatest(0, least(100, a + b)) END) AS score FROM v_truth GROUP BY fact)
     SELECT fact, events, CAST(score AS BIGINT) AS score, CASE WHEN score >= 90 THEN 'hard' WHEN score >= 40 THEN 'weight' ELSE 'ignore' END AS tier FROM tr"""
 
@@ -152,19 +152,17 @@ def q_recall(ev):
 
 
 def _drain(stream, mode: str):
-    """Run a stream over what is there and return all its rows."""
+    """Run a stream over what is there and return all its rows; a batch that runs again replaces its rows."""
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    base = f"{folder}/stream" if folder else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    run = f"{base}/drain-{_serial()}"
+    run = f"{shared_dir(spark)}/stream/drain-{_serial()}"
     if mode == "append":
         sink = stream.writeStream.format("parquet").option("path", f"{run}/out").outputMode("append")
     else:
         sink = stream.writeStream.foreachBatch(
-            lambda df, epoch: df.write.mode("append").parquet(f"{run}/out")).outputMode(mode)
+            lambda df, batch: df.write.mode("overwrite").parquet(f"{run}/out/batch={batch}")).outputMode(mode)
     query_ = sink.option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start()
     query_.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{run}/out")
+    return spark.read.schema(stream.schema).parquet(f"{run}/out").select(*stream.columns)
 
 
 def _serial() -> str:
@@ -173,15 +171,12 @@ def _serial() -> str:
 
 def _run_files(df, parts: int, order: str):
     """Write rows as run files one after the other in time order, as runs add them."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    base = f"{folder}/stream" if folder else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{base}/runs-{_serial()}"
+    path = f"{shared_dir(df.sparkSession)}/stream/runs-{_serial()}"
     at = F.col(order).cast("timestamp").cast("double")
     bounds = df.select(at.alias("at")).approxQuantile("at", [i / parts for i in range(1, parts)], 0.01)
     for low, high in zip([None, *bounds], [*bounds, None]):
         part = df if low is None else df.filter(at > low)
-        part = part if high is None else part.filter(at <= high)
+        part = part if high is None else part.filter(at <= high if low is not None else at.isNull() | (at <= high))
         part.write.mode("append").parquet(path)
     return path
 
@@ -221,7 +216,7 @@ def s_round(ev):
 
 
 @query("s_truth", f"""WITH lim AS (SELECT max(ts) - INTERVAL 1 MINUTE AS w FROM v_truth),
-    tr AS (SELECT fact, count(*) AS events, list_reduce(list_prepend(80, list(CASE kind WHEN 'human' THEN 1000 WHEN 'ok' THEN 10 WHEN 'fail' THEN -20 ELSE -30 END ORDER BY ts, seq)),
+    tr AS (SELECT fact, count(*) AS events, list_reduce(list_prepend(80, list(CASE kind WHEN 'human' THEN 1000 WHEN 'ok' THEN 10 WHEN 'fail' THEN -20 ELSE -30 END ORDER BY ts, seq, kind)),
       lambda a, b: CASE WHEN b = 1000 THEN 100 ELSE greatest(0, least(100, a + b)) END) AS score FROM v_truth, lim
       WHERE ts <= date_trunc('milliseconds', w) GROUP BY fact)
     SELECT fact, events, CAST(score AS BIGINT) AS score FROM tr""")

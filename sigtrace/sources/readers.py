@@ -117,7 +117,7 @@ def read_anchors(spark: SparkSession, path: str) -> dict[str, DataFrame]:
                          F.posexplode(f"confirmed_anchors_{view}").alias("_pos", "key", "a"))
              for i, view in enumerate(("top", "bot"))]
     rows = reduce(DataFrame.unionByName, sides)
-    anchors = rows.select("source", (F.col("_side") * 1_000_000 + F.col("_pos")).cast("long").alias("ord"),
+    anchors = rows.select("source", (F.col("_side").cast("long") * 2 ** 31 + F.col("_pos")).alias("ord"),
                           norm_key(F.col("key")).alias("refdes"), "view_name", *_point("a.label_px"),
                           F.coalesce("a.note", F.lit("")).alias("note"))
     missing = docs.select("source", F.posexplode("not_located").alias("ord", "note"))

@@ -49,7 +49,8 @@ def _folder(steps: dict[str, int], start: int, low: int, high: int, human: int):
             stamps = batch["ts"].astype("datetime64[us]").astype("int64")
             waiting.extend(zip(stamps.tolist(), batch["seq"].tolist(), batch["kind"].tolist()))
         watermark = state.getCurrentWatermarkMs()
-        ready = sorted(w for w in waiting if w[0] <= watermark * 1000)
+        ready = sorted((w for w in waiting if w[0] <= watermark * 1000),
+                       key=lambda w: (w[0], w[1], steps.get(w[2], 0), w[2] == "human"))
         rest = [w for w in waiting if w[0] > watermark * 1000]
         for _, _, what in ready:
             score = human if what == "human" else min(high, max(low, score + steps.get(what, 0)))
@@ -67,7 +68,8 @@ def stream_truth_score(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Running score per fact; events arriving out of order within ``delay`` are put in order.
 
     ``events``: fact, ts, seq, kind.  Emits a fact's score whenever the watermark has
-    passed further events of it; the latest row per fact has the highest ``events``.
+    passed further events of it, equal times and seqs in the order of ``truth_score``; later rows
+    are dropped, as in ``stream_dedup``; the latest row per fact has the highest ``events``.
     """
     scored = (events.withWatermark("ts", delay).groupBy("fact")
               .applyInPandasWithState(_folder(STEPS, START_SCORE, LOW, HIGH, HUMAN_SCORE), _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout))
