@@ -33,6 +33,15 @@ def q_best_hit(ev):
     return best_hits(ev)
 
 
+@query("q_merge_index", f"""WITH {_BEST} SELECT refdes, view_name, ord, conf, x, y FROM (
+    SELECT *, row_number() OVER (PARTITION BY refdes ORDER BY coalesce(conf, 0) DESC,
+        CASE WHEN view_name = 'top' THEN 0 ELSE 1 END, ord) AS rn FROM best) WHERE rn = 1""")
+def q_merge_index(ev):
+    """The known index of one view, a row replaced where another view's hit scores higher."""
+    best = best_hits(ev).select("refdes", "view_name", "ord", "conf", "x", "y")
+    return registry.merge_index(best.filter("view_name = 'top'"), best.filter("view_name <> 'top'"), "conf")
+
+
 @query("q_agreement", f"""
     WITH p AS (SELECT DISTINCT view_name, text, engine, x, y FROM v_hit),
     a AS (SELECT q.view_name, q.text, q.x, q.y, count(DISTINCT o.engine) AS engines
