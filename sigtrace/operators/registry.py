@@ -113,10 +113,10 @@ def cross_view_links(components: DataFrame) -> DataFrame:
     return components.filter(is_linked(F.col("views")))
 
 
-def registry_summary(components: DataFrame) -> DataFrame:
-    """Totals of the registry in one row.  The linked parts are ``cross_view_links``."""
+def registry_summary(components: DataFrame, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Totals of the registry, one row per value of ``by`` or one in all.  The linked parts are ``cross_view_links``."""
     status = F.col("status")
-    return components.agg(
+    return components.groupBy(*by).agg(
         F.count("*").alias("components"),
         *[F.count_if(status == s).alias(s) for s in ("confirmed", "ocr_hit", "unverified", "schematic_only")],
         F.count_if(is_linked(F.col("views"))).alias("linked"))
@@ -138,13 +138,14 @@ def chain_elements(refs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return refs.groupBy(*by, "refdes").agg(F.array_sort(F.collect_set(F.struct("idx", "elem"))).alias("chain_elems"))
 
 
-def category_counts(detections: DataFrame) -> DataFrame:
-    return detections.groupBy("category").agg(F.count("*").alias("n"))
+def category_counts(detections: DataFrame, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Detections per category, within each image that ``by`` names."""
+    return detections.groupBy(*by, "category").agg(F.count("*").alias("n"))
 
 
-def index_summary(index: DataFrame) -> DataFrame:
-    """Totals of a component index: rows, rows per view, with a role, validated."""
-    return index.agg(
+def index_summary(index: DataFrame, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Totals of a component index, or of each index that ``by`` names: rows, rows per view, with a role, validated."""
+    return index.groupBy(*by).agg(
         F.count("*").alias("total"),
         *[F.count_if(F.col("view_name") == v).alias(f"in_{v}") for v in ("top", "bot", "sch")],
         F.count_if(F.col("role").isNotNull()).alias("with_role"),
