@@ -315,9 +315,10 @@ def _tiled(members: DataFrame, percent: int) -> DataFrame:
                .select("root", "nid", "n", "keys", "tiles", "b", (100 * F.col("both") >= percent * (F.col("n") + F.col("m") - F.col("both"))).alias("linked")))
     tile = F.pmod(F.xxhash64("nid"), F.col("tiles"))
     rest = near.where("NOT linked").groupBy("root").agg(F.ceil(F.count("*") / TILE).alias("rests"))
+    linked = near.where("linked").select(F.col("nid").alias("a"), "b")  # also of blocks that have no unlinked set and so no row in rest
     near = near.join(rest, "root").withColumn("tile", tile).withColumn("part", F.pmod(F.xxhash64("nid", F.lit(1)), F.col("rests")))
     # a pair of tiles holds one tile of all sets and one part of the unlinked ones, which alone search
     stored = near.select("root", "nid", "n", "keys", "tile", F.explode(F.expr("sequence(0, rests - 1)")).alias("part"), F.lit(False).alias("probe"))
     search = near.where("NOT linked").select("root", "nid", "n", "keys", F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), "part", F.lit(True).alias("probe"))
     pairs = stored.unionByName(search).groupBy("root", "tile", "part").applyInPandas(_block(percent), "a long, b long")
-    return pairs.unionAll(near.where("linked").select(F.col("nid").alias("a"), "b"))
+    return pairs.unionAll(linked)
