@@ -11,9 +11,11 @@ from .textops import BLANKS, map_arrow, raw, texts, words
 
 SYMBOLS = "#*$%&|<>"
 #: (bytes below which the row holds, lowest ratio, highest ratio) for whole texts and for fixed chunks.
-#: Short texts carry the frame's overhead and have little to repeat; long ones share more of their words.
-WHOLE_BANDS = ((128, 0.0, 2.6), (512, 0.9, 2.8), (2048, 1.05, 3.2), (8192, 1.10, 3.6), (65536, 1.15, 4.0), (None, 1.15, 5.0))
-CHUNK_BANDS = ((512, 0.9, 3.2), (None, 1.05, 3.6))
+#: Short texts carry the frame's overhead and have little to repeat; long ones share more of their words. The lowest ratios
+#: lie between random letters in words (base64 with blanks: 1.25 below 512 bytes, 1.38 below 2048, 1.41 beyond) and prose.
+WHOLE_BANDS = ((128, 0.0, 2.6), (256, 0.9, 2.8), (320, 1.19, 2.8), (384, 1.22, 2.8), (512, 1.27, 2.8), (1024, 1.37, 3.2), (2048, 1.41, 3.2),
+               (8192, 1.45, 3.6), (65536, 1.5, 4.0), (None, 1.5, 5.0))
+CHUNK_BANDS = ((512, 0.9, 3.2), (None, 1.43, 3.6))
 CHUNK_BYTES = 4096
 #: The share of a text's bytes in chunks beyond their band that fails it.
 CHUNK_SHARE = 0.5
