@@ -9,10 +9,14 @@ bucket holds about as many keys at every size.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
+
+from sigtrace.session import shared_dir
 
 #: A slice ends at so many documents or bytes of text, whichever comes first.
 SLICE_DOCS, SLICE_BYTES = 8192, 16_000_000
@@ -74,3 +78,19 @@ def slices(batch: pa.RecordBatch, text_col: str, most: int = SLICE_BYTES):
             start, total = i, 0
         total += n
     yield batch.slice(start)
+
+
+def squeeze_words(words: list[bytes]) -> bytes:
+    """Words without line feeds, in order."""
+    return squeeze(np.frombuffer(b"\n".join(words), np.uint8))
+
+
+def unsqueeze_words(data: bytes) -> list[bytes]:
+    return unsqueeze(data, np.uint8).tobytes().split(b"\n") if data else []
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again: worked out once, safe from lost executors."""
+    folder = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.parquet(folder)

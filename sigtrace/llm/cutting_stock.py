@@ -15,7 +15,6 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from math import gcd
@@ -25,8 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sigtrace.session import shared_dir
-
+from .blobs import stored
 from .packing import encoder
 from .textops import give_back
 
@@ -360,9 +358,7 @@ def encoded(df: DataFrame, path: str, size: int, text_col: str, id_col: str, end
 
     kind = df.schema[id_col].dataType.simpleString()
     out = df.select(id_col, text_col).mapInArrow(run, f"id {kind}, tokens long, rest int, part int, nth long, whole long, ids binary")
-    folder = f"{shared_dir(df.sparkSession)}/encoded-{uuid.uuid4().hex}"
-    out.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+    return stored(out, "encoded")
 
 
 def cutting_stock_packing(df: DataFrame, path: str, size: int = 1024, text_col: str = "text", id_col: str = "doc_id", end_id: int = 0) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sigtrace.session import cut
 
-from .blobs import bucket_bits, slices, squeeze, unsqueeze
+from .blobs import bucket_bits, slices, squeeze, squeeze_words, unsqueeze, unsqueeze_words
 from .textops import map_arrow, raw, texts
 
 #: Side of a leaf of the quadtree, and of the blocks of groups whose pairs one task compares.
@@ -163,23 +163,15 @@ def _cut(lang, terms, many, sources, source, term, count, bucket, mark):
     for own, at in zip(np.split(order, ends[1:]), bucket[order][ends].tolist(), strict=True):
         if at >= 0:
             i, j = np.searchsorted(bucket[term], [at, at + 1])
-            yield [lang, at, squeeze_terms([terms[k] for k in own.tolist()]), squeeze(many[own].astype(np.uint32)), sources,
+            yield [lang, at, squeeze_words([terms[k] for k in own.tolist()]), squeeze(many[own].astype(np.uint32)), sources,
                    squeeze(source[i:j].astype(np.uint32)), squeeze(place[term[i:j]].astype(np.uint32)), squeeze(count[i:j].astype(np.uint64))]
 
 
-def squeeze_terms(terms: list[bytes]) -> bytes:
-    return squeeze(np.frombuffer(b"\n".join(terms), np.uint8))
-
-
-def unsqueeze_terms(data: bytes) -> list[bytes]:
-    return unsqueeze(data, np.uint8).tobytes().split(b"\n") if data else []
-
-
 def _merge(least: int):
     """A bucket's counts over all slices, for the terms that enough documents have."""
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         # slice by slice into one set of terms and cells
-        own = [unsqueeze_terms(t) for t in pdf["terms"]]
+        own = [unsqueeze_words(t) for t in pdf["terms"]]
         found = pa.array([t for part in own for t in part], pa.binary()).dictionary_encode()
         terms, code = found.dictionary.to_pylist(), np.asarray(found.indices, np.int64)
         many = np.zeros(len(terms), np.int64)
@@ -202,7 +194,7 @@ def _merge(least: int):
         source, term, count = cell[use] // len(terms), place[cell[use] % len(terms)], count[use]
         sums = np.zeros(len(sources), np.int64)
         np.add.at(sums, source, count)
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "bucket": pdf["bucket"].iloc[0], "n_terms": len(kept), "terms": [squeeze_terms([terms[k] for k in kept.tolist()])],
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "bucket": pdf["bucket"].iloc[0], "n_terms": len(kept), "terms": [squeeze_words([terms[k] for k in kept.tolist()])],
                              "sources": [sources], "sums": [sums.tolist()], "source": [squeeze(source.astype(np.uint32))],
                              "term": [squeeze(term.astype(np.uint32))], "count": [squeeze(count)]})[:1 if len(kept) else 0]
     return work
@@ -215,7 +207,7 @@ class _Block:
         self.groups = list(row.groups)
         self.totals = [int(n) + EXTRA * int(row.v) for n in row.group_totals]
         place = {s: k for k, s in enumerate(self.groups)}
-        self.terms = unsqueeze_terms(row.terms)
+        self.terms = unsqueeze_words(row.terms)
         self.row = np.array([place[s] for s in row.sources], np.int64)[unsqueeze(row.source, np.uint32).astype(np.int64)]
         self.term = unsqueeze(row.term, np.uint32).astype(np.int64)
         self.count = unsqueeze(row.count, np.int64)
@@ -292,12 +284,14 @@ def divergence(df: DataFrame, least: int = 30, most: int = 50, text_col: str = "
     def compare(frames):
         for pdf in frames:
             for r in pdf.itertuples(index=False):
-                yield _Block(r).pairs(int(r.tile_one), int(r.tile_two)).assign(lang=r.lang)
+                if len(out := _Block(r).pairs(int(r.tile_one), int(r.tile_two))):
+                    yield out.assign(lang=r.lang)
 
     def stand_out(frames):
         for pdf in frames:
             for r in pdf.itertuples(index=False):
-                yield _Block(r).best(sum(map(int, r.group_totals)) + EXTRA * int(r.v), most).assign(lang=r.lang)
+                if len(out := _Block(r).best(sum(map(int, r.group_totals)) + EXTRA * int(r.v), most)):
+                    yield out.assign(lang=r.lang)
 
     schema = "one string, two string, value long, lang string"
     sums = tiles.mapInPandas(compare, schema).groupBy("lang", "one", "two").agg(F.sum("value").alias("value"))

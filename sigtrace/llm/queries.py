@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cutting_stock, divergence, html, jaccard, langid, licences, lm, mixing, neighbours, packing, quality, tokens
+from . import collocations, cutting_stock, divergence, html, jaccard, langid, licences, lm, mixing, neighbours, packing, quality, tokens
 
 
 def vocabulary() -> str:
@@ -70,10 +70,14 @@ def op12_cutting_stock_packing(spark, folder):
     return cutting_stock.cutting_stock_packing(table(spark, folder, "documents"), vocabulary(), 1024)
 
 
+def op13_phrase_collocations(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_licence_scans, op4_quality_rules, op5_ngram_jaccard,
                             op6_source_mixing, op7_language_id, op8_main_text, op9_nearest, op10_lm_scores,
-                            op11_source_divergence, op12_cutting_stock_packing)}
+                            op11_source_divergence, op12_cutting_stock_packing, op13_phrase_collocations)}
 
 #: Where SQL can express a result; the others have brute-force tests.
-ORACLES: dict[str, str] = {"op11_source_divergence": divergence.ORACLE}
+ORACLES: dict[str, str] = {"op11_source_divergence": divergence.ORACLE, "op13_phrase_collocations": collocations.ORACLE}
