@@ -20,7 +20,7 @@ def _ref(k: str, n: str, last: str = "FI") -> str:
     return _REF.format(k=k, n=n, last=last)
 
 
-PAGE_W, PAGE_H = 32, 24
+PAGE_W, PAGE_H = 64, 48
 
 VIEWS = {
     "v_box": """
@@ -60,7 +60,7 @@ VIEWS = {
         SELECT l_suppkey AS page_id, l_orderkey % {PAGE_W} AS x, l_partkey % {PAGE_H} AS y,
                max((l_orderkey * 13 + l_partkey) % 256) AS b, max((l_partkey * 7 + l_suppkey) % 256) AS g,
                max((l_orderkey * 5 + l_suppkey * 3) % 256) AS r
-        FROM lineitem WHERE l_returnflag = 'R'
+        FROM lineitem
         GROUP BY l_suppkey, l_orderkey % {PAGE_W}, l_partkey % {PAGE_H}""",
     "v_spot": f"""
         SELECT CAST((ord - ord % 20) / 20 AS BIGINT) AS page_id, ord, kind AS sym,

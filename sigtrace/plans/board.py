@@ -241,24 +241,27 @@ def q_chain_refs(ev):
     return registry.chain_refs(elements, known, ["chain_id"]).select("chain_id", "idx", "elem", "refdes", "pos")
 
 
+# Texts read in the crop of each detection: one per order line of its part.
+_CROP_TEXTS = """SELECT b.page_id AS source, b.ord AS idx, l_orderkey * 8 + l_linenumber AS ord,
+        concat('IC', CAST(l_suppkey % 300 AS STRING)) AS text FROM lineitem JOIN v_box b ON l_partkey = b.ord"""
+
+
 @query("q_crop_match", f"""
-    WITH d AS (SELECT page_id AS source, ord % 500 AS idx, min(ord) AS ord FROM v_box GROUP BY page_id, ord % 500),
-    t AS (SELECT concat('Brand#', CAST(l_partkey % 25 + 1 AS STRING)) AS source, l_suppkey * 7 % 500 AS idx,
-          l_orderkey * 8 + l_linenumber AS ord, concat('IC', CAST(l_partkey % 300 AS STRING)) AS text FROM lineitem),
+    WITH d AS (SELECT page_id AS source, ord AS idx, ord FROM v_box),
+    t AS ({_CROP_TEXTS}),
     w AS (SELECT DISTINCT refdes FROM v_anchor WHERE refdes LIKE 'IC%'),
     m AS (SELECT source, idx, arg_min(text, ord) AS refdes FROM t WHERE text IN (SELECT refdes FROM w) GROUP BY source, idx),
     j AS (SELECT d.source, d.idx, d.ord, m.refdes FROM d JOIN m ON d.source = m.source AND d.idx = m.idx),
     c AS (SELECT j.source, j.idx, j.refdes, count(*) AS n, bool_or(t.text = j.refdes) AS named
           FROM j JOIN t ON j.source = t.source AND j.idx = t.idx GROUP BY 1, 2, 3)
-    SELECT j.source, j.idx, j.ord, j.refdes, coalesce(c.named AND c.n <= 11, false) AS confirmed
+    SELECT j.source, j.idx, j.ord, j.refdes, coalesce(c.named AND c.n <= 31, false) AS confirmed
     FROM j LEFT JOIN c ON j.source = c.source AND j.idx = c.idx AND j.refdes = c.refdes""")
 def q_crop_match(ev):
-    det = ev.v_box.groupBy(F.col("page_id").alias("source"), (F.col("ord") % 500).alias("idx")).agg(F.min("ord").alias("ord"))
-    texts = ev.sql("""SELECT concat('Brand#', CAST(l_partkey % 25 + 1 AS STRING)) AS source, l_suppkey * 7 % 500 AS idx,
-        l_orderkey * 8 + l_linenumber AS ord, concat('IC', CAST(l_partkey % 300 AS STRING)) AS text FROM lineitem""")
+    det = ev.v_box.select(F.col("page_id").alias("source"), F.col("ord").alias("idx"), "ord")
+    texts = ev.sql(_CROP_TEXTS)
     wanted = ev.v_anchor.filter(F.startswith("refdes", F.lit("IC"))).select("refdes")
     found = packages.crop_match(det, texts, wanted)
-    sure = packages.confirm_only(found, texts, noise=10).select("source", "idx", F.lit(True).alias("_c"))
+    sure = packages.confirm_only(found, texts, noise=30).select("source", "idx", F.lit(True).alias("_c"))
     return found.join(sure, ["source", "idx"], "left").select(
         "source", "idx", "ord", "refdes", F.coalesce("_c", F.lit(False)).alias("confirmed"))
 
@@ -269,16 +272,16 @@ def q_by_category(ev):
 
 
 @query("q_text_find", """
-    WITH h AS (SELECT *, CAST(ord % 40 AS BIGINT) AS page_id FROM v_hit),
-    b AS (SELECT CAST(s_suppkey AS BIGINT) AS page_id, s_suppkey * 17 % 2000 AS bx0, s_suppkey * 23 % 2000 AS by0 FROM supplier WHERE s_suppkey < 40),
+    WITH h AS (SELECT *, CAST(floor(ord / 600000000) AS BIGINT) AS page_id FROM v_hit),
+    b AS (SELECT CAST(s_suppkey AS BIGINT) AS page_id, s_suppkey * 17 % 2000 AS bx0, s_suppkey * 23 % 2000 AS by0 FROM supplier),
     i AS (SELECT h.page_id, count(*) AS in_box, CAST(sum(CAST(floor(h.x * (600.0::DOUBLE / h.src_dpi)) AS BIGINT)) AS BIGINT) AS sum_x FROM h JOIN b ON h.page_id = b.page_id
           AND h.x * (600.0::DOUBLE / h.src_dpi) BETWEEN bx0 AND bx0 + 900 AND h.y * (600.0::DOUBLE / h.src_dpi) BETWEEN by0 AND by0 + 900 GROUP BY h.page_id),
     f AS (SELECT page_id, ord, text, CAST(floor(x * (600.0::DOUBLE / src_dpi)) AS BIGINT) AS x, CAST(floor(y * (600.0::DOUBLE / src_dpi)) AS BIGINT) AS y,
           row_number() OVER (PARTITION BY page_id ORDER BY ord) AS rn FROM h WHERE lower(text) LIKE '%ic1%')
     SELECT f.page_id, f.ord, f.text, f.x, f.y, i.in_box, i.sum_x FROM f LEFT JOIN i ON f.page_id = i.page_id WHERE rn = 1""")
 def q_text_find(ev):
-    hits = ev.v_hit.withColumn("page_id", (F.col("ord") % 40).cast("long"))
-    boxes = ev.table("supplier").filter("s_suppkey < 40").select(
+    hits = ev.v_hit.withColumn("page_id", F.floor(F.col("ord") / 600000000))
+    boxes = ev.table("supplier").select(
         F.col("s_suppkey").cast("long").alias("page_id"), (F.col("s_suppkey") * 17 % 2000).alias("bx0"),
         (F.col("s_suppkey") * 23 % 2000).alias("by0"))
     boxes = boxes.select("*", (F.col("bx0") + 900).alias("bx1"), (F.col("by0") + 900).alias("by1"))
@@ -288,7 +291,7 @@ def q_text_find(ev):
         "page_id", "ord", "text", "x", "y", "in_box", "sum_x")
 
 
-_READS = "r AS (SELECT l_orderkey % 15000 AS ord, concat(CASE l_partkey % 3 WHEN 0 THEN 'IC' WHEN 1 THEN 'C' ELSE 'L ' END, CAST(l_partkey % 40 AS STRING)) AS text FROM lineitem)"
+_READS = "r AS (SELECT l_orderkey AS ord, concat(CASE l_partkey % 3 WHEN 0 THEN 'IC' WHEN 1 THEN 'C' ELSE 'L ' END, CAST(l_partkey % 40 AS STRING)) AS text FROM lineitem)"
 _NORM = "translate({0}, 'IL', '11')"
 
 
@@ -320,8 +323,11 @@ def q_verify_summary(ev):
     return quality.verify_summary(quality.read_back(ev.v_label.select("ord", "refdes"), ev.sql(_READS[6:-1])))
 
 
-@query("q_relocate", """
-    WITH c AS (SELECT * FROM v_label WHERE ord % 20 = 3),
+@query("q_relocate", f"""
+    WITH {_READS},
+    c AS (SELECT l.* FROM v_label l WHERE NOT EXISTS (SELECT 1 FROM (
+            SELECT ord, text, translate(upper(replace(trim(text), ' ', '')), 'IL', '11') AS n FROM r) d
+          WHERE d.ord = l.ord AND d.n <> '' AND (contains({_NORM.format('l.refdes')}, d.n) OR contains(d.n, {_NORM.format('l.refdes')})))),
     k AS (SELECT c.page_id, c.ord, c.refdes, c.x, c.y, s.ord AS symbol, s.x0 AS sx, s.y0 AS sy,
           abs(c.x - s.x0) + abs(c.y - s.y0) AS distance,
           row_number() OVER (PARTITION BY c.ord ORDER BY abs(c.x - s.x0) + abs(c.y - s.y0), s.ord) AS rn
@@ -332,7 +338,8 @@ def q_verify_summary(ev):
       SELECT *, row_number() OVER (PARTITION BY ord ORDER BY distance, symbol) AS pick FROM g) WHERE pick = 1""")
 def q_relocate(ev):
     x, y = F.col("x"), F.col("y")
-    failed = ev.v_label.filter("ord % 20 = 3").withColumn("text_box", F.array(
+    checked = quality.reverse_check(ev.v_label, ev.sql(_READS[6:-1]))
+    failed = checked.filter("NOT reverse_ok").withColumn("text_box", F.array(
         geo.point(x, y), geo.point(x + 200, y), geo.point(x + 200, y + 200), geo.point(x, y + 200)))
     boxes = ev.v_box.select("page_id", F.col("ord").alias("s_ord"), F.col("x0").alias("sx"), F.col("y0").alias("sy"))
     # Each symbol reads as one letter; the letter I counts as a one in both texts.
@@ -396,9 +403,14 @@ def q_misreads(ev):
     return registry.correct_misreads(ev.v_hit.select("ord", "text"), ev.v_chain)
 
 
+# Designators read at each detection, scored: one per order line of its part.
+_DET_REFS = """SELECT b.page_id, b.ord AS det, l_orderkey * 8 + l_linenumber AS ord, concat('C', CAST(l_suppkey % 400 AS STRING)) AS refdes,
+        l_extendedprice AS score FROM lineitem JOIN v_box b ON l_partkey = b.ord"""
+
+
 @query("q_label_det", f"""
     WITH {_METRICS},
-    r AS (SELECT page_id, ord % 1000 AS det, ord, refdes, weight AS score FROM v_label),
+    r AS ({_DET_REFS}),
     b AS (SELECT page_id, det, refdes FROM (SELECT *, row_number() OVER (PARTITION BY page_id, det ORDER BY score DESC, ord) AS rn FROM r) WHERE rn = 1),
     d AS (SELECT m.page_id, m.ord, {_CLASS} AS category FROM m)
     SELECT d.page_id, d.ord, b.refdes, CASE WHEN b.refdes IS NOT NULL THEN 'ocr_found' ELSE 'unverified' END AS status,
@@ -408,8 +420,7 @@ def q_misreads(ev):
         ELSE '未分类' END || CASE WHEN b.refdes IS NULL THEN '' ELSE concat(' — 附近有: ', b.refdes) END AS description
     FROM d LEFT JOIN b ON d.page_id = b.page_id AND d.ord = b.det""")
 def q_label_det(ev):
-    refs = ev.v_label.select("page_id", (F.col("ord") % 1000).alias("det"), "ord", "refdes",
-                             F.col("weight").alias("score"), F.lit("label").alias("source"))
+    refs = ev.sql(_DET_REFS).withColumn("source", F.lit("label"))
     out = registry.label_detections(classified(ev).select("page_id", "ord", "category"), refs)
     near = F.when(F.col("refdes").isNotNull(), F.array("refdes"))
     return out.select("page_id", "ord", "refdes", "status", text.describe(F.col("category"), near).alias("description"))

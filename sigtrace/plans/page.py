@@ -122,14 +122,14 @@ def q_bands(ev):
 
 # Labels of the dark mask's components by rounds of neighbouring minima.
 _LABELS = """px AS ({src}),
-    nb AS (SELECT a.page_id, a.y * 32 + a.x AS p, b.y * 32 + b.x AS q FROM px a JOIN px b ON a.page_id = b.page_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+    nb AS (SELECT a.page_id, a.y * 64 + a.x AS p, b.y * 64 + b.x AS q FROM px a JOIN px b ON a.page_id = b.page_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
     lb(it, page_id, p, label, moved) AS (
-      SELECT 0, page_id, y * 32 + x, y * 32 + x, true FROM px
+      SELECT 0, page_id, y * 64 + x, y * 64 + x, true FROM px
       UNION ALL
       SELECT c.it + 1, c.page_id, c.p, n.label, n.label < c.label FROM lb c JOIN (
         SELECT nb.page_id, nb.p, min(o.label) AS label FROM nb JOIN lb o ON nb.page_id = o.page_id AND nb.q = o.p GROUP BY nb.page_id, nb.p) n
         ON c.page_id = n.page_id AND c.p = n.p WHERE EXISTS (SELECT 1 FROM lb z WHERE z.moved)),
-    cc AS (SELECT page_id, p % 32 AS x, p // 32 AS y, min(label) AS label FROM lb GROUP BY page_id, p)"""
+    cc AS (SELECT page_id, p % 64 AS x, p // 64 AS y, min(label) AS label FROM lb GROUP BY page_id, p)"""
 _DARK_PX = f"SELECT page_id, x, y FROM v_pixel WHERE {_LUMA} < 150"
 _COL_PX = f"SELECT page_id, x, y FROM v_pixel WHERE {_DIFF} > 90"
 
@@ -154,7 +154,7 @@ def q_components(ev):
     t AS (SELECT page_id, CAST(sum(area) AS BIGINT) AS total, max(area) AS area, arg_min(label, -area * 10000 + label) AS label, count(*) AS components FROM n GROUP BY page_id),
     k AS (SELECT page_id, CAST(sum(area) AS BIGINT) AS top_area FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY area DESC, label) AS rn FROM n) WHERE rn <= 5 GROUP BY page_id)
     SELECT t.page_id, t.label, t.area, t.total, round_even(t.area::DOUBLE / t.total * 1000, 0) / 1000 AS ratio, t.area::DOUBLE / t.total >= 0.5 AS is_main,
-      t.components, k.top_area, round(t.total::DOUBLE / 768, 6) AS share FROM t JOIN k ON t.page_id = k.page_id""", recursive=True)
+      t.components, k.top_area, round(t.total::DOUBLE / 3072, 6) AS share FROM t JOIN k ON t.page_id = k.page_id""", recursive=True)
 def q_nets(ev):
     mask = pixels.dark_mask(ev.v_pixel, DARK)
     labelled = graph.label_runs(mask)
@@ -181,7 +181,7 @@ def q_board_bbox(ev):
     return pixels.board_bbox(graph.label_runs(mask))
 
 
-_HOPS = _RUNS + """, nd AS (SELECT page_id, pos, lo, hi, pos * 32 + lo AS node FROM rn),
+_HOPS = _RUNS + """, nd AS (SELECT page_id, pos, lo, hi, pos * 64 + lo AS node FROM rn),
     ed AS (SELECT a.page_id, a.node AS a, b.node AS b FROM nd a JOIN nd b ON a.page_id = b.page_id AND abs(a.pos - b.pos) = 1 AND a.lo <= b.hi + 1 AND b.lo - 1 <= a.hi),
     sd AS (SELECT page_id, node FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY (greatest(lo, least(hi, 16)) - 16) ** 2 + (pos - 12) ** 2, pos, lo) AS k FROM nd) WHERE k = 1),
     bf(dist, page_id, node) AS (
@@ -263,9 +263,9 @@ _AFTER = f"(SELECT page_id, x, y, b, g, CASE WHEN {_DIFF} > 120 THEN 255 ELSE r
     af AS {_AFTER},
     kp AS (SELECT cc.page_id, cc.x, cc.y FROM cc JOIN mn ON cc.page_id = mn.page_id AND cc.label = mn.label
       JOIN af ON cc.page_id = af.page_id AND cc.x = af.x AND cc.y = af.y WHERE {_LUMA} < 150),
-    kb AS (SELECT a.page_id, a.y * 32 + a.x AS p, b.y * 32 + b.x AS q FROM kp a JOIN kp b ON a.page_id = b.page_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+    kb AS (SELECT a.page_id, a.y * 64 + a.x AS p, b.y * 64 + b.x AS q FROM kp a JOIN kp b ON a.page_id = b.page_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
     kl(it, page_id, p, label, moved) AS (
-      SELECT 0, page_id, y * 32 + x, y * 32 + x, true FROM kp
+      SELECT 0, page_id, y * 64 + x, y * 64 + x, true FROM kp
       UNION ALL
       SELECT c.it + 1, c.page_id, c.p, n.label, n.label < c.label FROM kl c JOIN (
         SELECT kb.page_id, kb.p, min(o.label) AS label FROM kb JOIN kl o ON kb.page_id = o.page_id AND kb.q = o.p GROUP BY kb.page_id, kb.p) n
@@ -301,16 +301,15 @@ def q_degree(ev):
 
 @query("q_set_algebra", f"""
     WITH a AS (SELECT page_id, x, y FROM v_pixel WHERE {_DIFF} > 40), b AS (SELECT page_id, x, y FROM v_pixel WHERE {_LUMA} < 150),
-    z AS (SELECT page_id, greatest(x0 - (x1 - x0) // 4, 0) AS x0, greatest(y0 - (y1 - y0) // 4, 0) AS y0, least(x1 + (x1 - x0) // 4, 32) AS x1, least(y1 + (y1 - y0) // 4, 24) AS y1
-      FROM (SELECT page_id, x AS x0, y AS y0, least(x + 4 + ord % 5, 32) AS x1, least(y + 4 + ord % 3, 24) AS y1 FROM v_spot WHERE ord % 4 = 0))
+    z AS (SELECT page_id, greatest(x0 - (x1 - x0) // 4, 0) AS x0, greatest(y0 - (y1 - y0) // 4, 0) AS y0, least(x1 + (x1 - x0) // 4, 64) AS x1, least(y1 + (y1 - y0) // 4, 48) AS y1
+      FROM (SELECT page_id, x AS x0, y AS y0, least(x + 4 + ord % 5, 64) AS x1, least(y + 4 + ord % 3, 48) AS y1 FROM v_spot))
     SELECT 'and' AS op, * FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'or', * FROM (SELECT * FROM a UNION SELECT * FROM b)
     UNION ALL SELECT 'minus', * FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
     UNION ALL SELECT 'roi', a.* FROM a WHERE EXISTS (SELECT 1 FROM z WHERE z.page_id = a.page_id AND a.x >= z.x0 AND a.x < z.x1 AND a.y >= z.y0 AND a.y < z.y1)""")
 def q_set_algebra(ev):
     a = pixels.mask_chan_diff(ev.v_pixel).select("page_id", "x", "y")
     b = pixels.dark_mask(ev.v_pixel, DARK).select("page_id", "x", "y")
-    spot = ev.v_spot.filter("ord % 4 = 0")
-    regions = spot.select("page_id", F.struct(
+    regions = ev.v_spot.select("page_id", F.struct(
         F.col("x").alias("x0"), F.col("y").alias("y0"), F.least(F.col("x") + 4 + F.col("ord") % 5, F.lit(PAGE_W)).alias("x1"),
         F.least(F.col("y") + 4 + F.col("ord") % 3, F.lit(PAGE_H)).alias("y1")).alias("bbox"))
     rois = pixels.roi_expand(regions, PAGE_W, PAGE_H)
@@ -324,9 +323,9 @@ def _side(x0, x1, y0, y1):
 
 
 _MEMBER = f"""d AS (SELECT page_id, x, y FROM v_pixel WHERE {_DIFF} > 90),
-    f AS (SELECT s.*, {_side('s.x - 3', 's.x + 3', 's.y - 3', 's.y + 3')} AS touch, {_side('least(s.x + 3, 31)', 'least(s.x + 8, 31)', 's.y - 2', 's.y + 2')} AS e,
+    f AS (SELECT s.*, {_side('s.x - 3', 's.x + 3', 's.y - 3', 's.y + 3')} AS touch, {_side('least(s.x + 3, 63)', 'least(s.x + 8, 63)', 's.y - 2', 's.y + 2')} AS e,
       {_side('greatest(s.x - 8, 0)', 'greatest(s.x - 3, 0)', 's.y - 2', 's.y + 2')} AS w_, {_side('s.x - 2', 's.x + 2', 'greatest(s.y - 8, 0)', 'greatest(s.y - 3, 0)')} AS n,
-      {_side('s.x - 2', 's.x + 2', 'least(s.y + 3, 23)', 'least(s.y + 8, 23)')} AS so FROM v_spot s)"""
+      {_side('s.x - 2', 's.x + 2', 'least(s.y + 3, 47)', 'least(s.y + 8, 47)')} AS so FROM v_spot s)"""
 
 
 @query("q_membership", f"""WITH {_MEMBER}

@@ -346,12 +346,12 @@ def q_closest(ev):
 
 
 @query("q_first_source", """
-    WITH a AS (SELECT page_id, x // 100 AS k, ord, 'label' AS src FROM v_label WHERE ord % 3 = 0),
-    b AS (SELECT page_id, x0 // 100 AS k, ord, 'box' AS src FROM v_box)
+    WITH a AS (SELECT page_id, x AS k, ord, 'label' AS src FROM v_label),
+    b AS (SELECT page_id, x0 AS k, ord, 'box' AS src FROM v_box)
     SELECT * FROM a UNION ALL SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.page_id = b.page_id AND a.k = b.k)""")
 def q_first_source(ev):
-    a = ev.v_label.filter("ord % 3 = 0").select("page_id", F.floor(F.col("x") / 100).alias("k"), "ord", F.lit("label").alias("src"))
-    b = ev.v_box.select("page_id", F.floor(F.col("x0") / 100).alias("k"), "ord", F.lit("box").alias("src"))
+    a = ev.v_label.select("page_id", F.col("x").alias("k"), "ord", F.lit("label").alias("src"))
+    b = ev.v_box.select("page_id", F.col("x0").alias("k"), "ord", F.lit("box").alias("src"))
     return dedup.first_source(a, b, keys=["page_id", "k"])
 
 
@@ -450,7 +450,7 @@ def q_widths(ev):
     return pixels.robust_width(ev.v_box)
 
 
-_WORDS = """w AS (SELECT page_id, ord, CAST(x % 2400 AS DOUBLE) + 0.25 AS x, CAST(y % 1600 AS DOUBLE) + 0.25 AS y, CAST(ord % 64 + 1 AS BIGINT) AS pin FROM v_label WHERE ord % 5 = 0)"""
+_WORDS = """w AS (SELECT CAST(floor(ord / 250) AS BIGINT) AS page_id, ord, CAST(x % 2400 AS DOUBLE) + 0.25 AS x, CAST(y % 1600 AS DOUBLE) + 0.25 AS y, CAST(ord % 64 + 1 AS BIGINT) AS pin FROM v_label)"""
 _PAIRS = _WORDS + """, p AS (SELECT a.page_id, a.ord AS a_ord, b.ord AS b_ord,
       CAST(round_even(CASE WHEN a.x < b.x THEN a.x ELSE b.x END, 0) AS BIGINT) AS lx, CAST(round_even(CASE WHEN a.x < b.x THEN a.y ELSE b.y END, 0) AS BIGINT) AS ly,
       CASE WHEN a.x < b.x THEN a.pin ELSE b.pin END AS lp, CAST(round_even(CASE WHEN a.x < b.x THEN b.x ELSE a.x END, 0) AS BIGINT) AS rx,
@@ -459,8 +459,8 @@ _PAIRS = _WORDS + """, p AS (SELECT a.page_id, a.ord AS a_ord, b.ord AS b_ord,
 
 
 def pin_pairs(ev: Evidence):
-    words = ev.v_label.filter("ord % 5 = 0").select(
-        "page_id", "ord", ((F.col("x") % 2400).cast("double") + 0.25).alias("x"),
+    words = ev.v_label.select(
+        F.floor(F.col("ord") / 250).alias("page_id"), "ord", ((F.col("x") % 2400).cast("double") + 0.25).alias("x"),
         ((F.col("y") % 1600).cast("double") + 0.25).alias("y"), (F.col("ord") % 64 + 1).alias("pin"))
     return packages.row_pairs(words)
 
