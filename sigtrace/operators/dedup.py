@@ -1,24 +1,26 @@
 """Exact first-wins de-duplication of detections, without listing conflicting pairs.
 
 Walking rows in priority order and keeping a row unless it conflicts with a kept
-one is decided here in parallel rounds.  Rows are filed in cells so small that
-any two rows of a cell conflict, so only the first row of a cell can be kept
-next.  It is kept if no open row before it conflicts with it; then everything
-that conflicts with it is dropped.  Each row meets only the first rows of the few
-cells in reach: work per round is linear in the rows, also where thousands of
-near-copies sit on one spot.
+one is decided here tile by tile: a tile sweeps over its rows in order and leaves
+open only what depends on rows of other tiles that are still open.  Rows of equal
+place and size are decided once, and all that conflicts with a kept row goes by a join
+on grid cells, so a tile never holds more than a bounded number of rows, also
+where thousands of near-copies sit on one spot.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 
 BASE = 4.0
+TILE_ROWS = 10_000
 _POWERS = list(range(-4, 16))
 
 
@@ -86,8 +88,57 @@ class _Grid:
         return self.lookup(rows).join(offers, cell).filter(close).select("page_id", "prio", "k_prio")
 
 
+def _tiled(rows: DataFrame, most: int) -> DataFrame:
+    """Rows with the origin and side of their page's tiles: one tile up to ``most`` rows, else half as many each on average.
+
+    A tile is wider than two distances; a page that is little more than a line is cut across only.
+    """
+    reach = F.greatest(F.max("tx"), F.max("ty"))
+    wide, high = F.max("cx") - F.min("cx") + 1, F.max("cy") - F.min("cy") + 1
+    tiles = F.when(F.count("*") <= most, 1).otherwise(F.ceil(2 * F.count("*") / most))
+    side = F.greatest(2 * reach, F.sqrt(wide * high / tiles), F.greatest(wide, high) / tiles)
+    pages = rows.groupBy("page_id").agg(reach.alias("reach"), side.alias("side"), F.min("cx").alias("ox"), F.min("cy").alias("oy"))
+    return rows.join(pages, "page_id")
+
+
+def _views(rows: DataFrame) -> DataFrame:
+    """Each row in its own tile (``own``) and in the neighbours whose rows it can reach."""
+    at = lambda c, step: F.floor((F.col(f"c{c}") - F.col(f"o{c}") + step) / F.col("side"))
+    span = {c: F.sequence(at(c, -F.col("reach")), at(c, F.col("reach"))) for c in "xy"}
+    spread = rows.withColumn("u", F.explode(span["x"])).withColumn("v", F.explode(span["y"]))
+    return spread.withColumn("own", (F.col("u") == at("x", 0)) & (F.col("v") == at("y", 0)))
+
+
+def _sweep(shape: str):
+    """Decide a tile's rows in order of priority, as far as rows of other tiles don't stand before them."""
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        cx, cy, tx, ty = (pdf[c].to_numpy() for c in ("cx", "cy", "tx", "ty"))
+        own, side = pdf["own"].to_numpy(), max(tx.max(), ty.max()) or 1.0
+        column, line = np.floor(cx / side).astype(np.int64).tolist(), np.floor(cy / side).astype(np.int64).tolist()
+        fate = np.zeros(len(pdf), np.int8)  # 0 open, 1 kept, 2 dropped
+        cells: dict[tuple[int, int], list[int]] = {}  # rows before that are kept or open
+        for i, (c, r) in enumerate(zip(column, line, strict=True)):
+            near = [k for a in (c - 1, c, c + 1) for b in (r - 1, r, r + 1) for k in cells.get((a, b), ())]
+            if near:
+                k = np.array(near)
+                dx, dy = np.abs(cx[k] - cx[i]), np.abs(cy[k] - cy[i])
+                if shape == "circle":
+                    met = fate[k[np.sqrt(dx * dx + dy * dy) < np.maximum(tx[k], tx[i])]]
+                else:
+                    met = fate[k[(dx < np.maximum(tx[k], tx[i])) & (dy < np.maximum(ty[k], ty[i]))]]
+                fate[i] = 2 if (met == 1).any() else 0 if len(met) or not own[i] else 1
+            else:
+                fate[i] = 1 if own[i] else 0
+            if fate[i] < 2:
+                cells.setdefault((c, r), []).append(i)
+        told = own & (fate > 0)
+        return pd.DataFrame({"rid": pdf["rid"].to_numpy()[told], "is_kept": fate[told] == 1})
+    return work
+
+
 def greedy_nms(df: DataFrame, order: list[str], cx: Column, cy: Column, tx: Column,
-               ty: Column | None = None, shape: str = "box") -> DataFrame:
+               ty: Column | None = None, shape: str = "box", most: int = TILE_ROWS) -> DataFrame:
     """Add ``kept``, ``kept_by`` and ``rounds``: which rows first-wins de-duplication keeps.
 
     Rows conflict if their centres differ by less than the larger ``tx`` and ``ty``
@@ -96,40 +147,42 @@ def greedy_nms(df: DataFrame, order: list[str], cx: Column, cy: Column, tx: Colu
     dropped one conflicts with; for a kept row it is its own.  A row without a size
     conflicts only with larger ones, a row without a place with none; rows without
     a page are left out.
+
+    A page is cut into tiles.  In a round each tile decides its first ``most`` rows in
+    one sweep in order of priority; a row waits only if an undecided one of another
+    tile stands before it.  What conflicts with a kept row then goes at once, however
+    many rows that are.  So rounds follow the tiles that a chain of conflicts crosses.
     """
     ty = tx if ty is None else ty
-    shrink = 2 ** -0.5 if shape == "circle" else 1.0
     work = df.select(
         "page_id", F.struct(*order).alias("prio"), cx.cast("double").alias("cx"), cy.cast("double").alias("cy"),
         F.coalesce(tx.cast("double"), F.lit(0.0)).alias("tx"), F.coalesce(ty.cast("double"), F.lit(0.0)).alias("ty"))
     work = work.filter("page_id IS NOT NULL")
     work = work.withColumn("kx", _class(F.col("tx"))).withColumn("ky", _class(F.col("ty")))
-    # A cell as wide as the smallest distance of its class holds only rows that conflict.
-    low = lambda k: F.pow(F.lit(BASE), F.col(k)) * shrink
-    work = (work.withColumn("gx", F.floor(F.col("cx") / low("kx"))).withColumn("gy", F.floor(F.col("cy") / low("ky"))))
-    # Rows too small for that, or nowhere, are each the first of their own cell.
-    tiny = (F.least("tx", "ty") < BASE ** _POWERS[0]) | F.col("cx").isNull() | F.col("cy").isNull()
-    work = cut(work.withColumn("alone", F.when(tiny, F.col("prio"))))
+    work = cut(work.withColumn("rid", F.monotonically_increasing_id()))
     grid = _Grid(work, shape)
-    left, kept, rounds = work, [], 0
+    nowhere = F.col("cx").isNull() | F.col("cy").isNull()
+    # Rows of equal place and size conflict and meet the same others: the first stands for all.  Without a size they don't.
+    solid = F.when(F.least("tx", "ty") <= 0, F.col("rid"))
+    first = (work.filter(~nowhere).groupBy("page_id", "cx", "cy", "tx", "ty", "kx", "ky", solid.alias("alone"))
+             .agg(F.min_by(F.struct("prio", "rid"), "prio").alias("f")).select("page_id", "f.*", "cx", "cy", "tx", "ty", "kx", "ky"))
+    left, kept, rounds = cut(_tiled(first, most)), [work.filter(nowhere).select("rid")], 0
     while not left.isEmpty():
         rounds += 1
-        first = (left.groupBy("page_id", "kx", "ky", "gx", "gy", "alone")
-                 .agg(F.min_by(F.struct("prio", "cx", "cy", "tx", "ty"), "prio").alias("_f"))
-                 .select("page_id", "kx", "ky", "_f.*"))
-        met = cut(grid.conflicts(left, first))
-        blocked = met.filter("prio < k_prio").select("page_id", F.col("k_prio").alias("prio")).distinct()
-        # The first open row of a page is never blocked, so every round decides at least one.
-        keep = first.select("page_id", "prio").join(blocked, ["page_id", "prio"], "left_anti")
-        dropped = met.filter("prio <> k_prio").join(keep.withColumnRenamed("prio", "k_prio"), ["page_id", "k_prio"], "left_semi")
-        fate = (keep.withColumn("_kept", F.lit(True))
-                .unionByName(dropped.select("page_id", "prio").distinct().withColumn("_kept", F.lit(False))))
-        state = cut(left.join(fate, ["page_id", "prio"], "left"))
-        kept.append(state.filter("_kept").drop("_kept"))
-        left = state.filter("_kept is null").drop("_kept")
-    winners = reduce(DataFrame.unionByName, kept) if kept else work
+        tile = Window.partitionBy("page_id", "u", "v").orderBy("prio")
+        view = _views(left).withColumn("seq", F.row_number().over(tile)).filter(F.col("seq") <= most)
+        fate = cut(view.select("page_id", "u", "v", "seq", "rid", "cx", "cy", "tx", "ty", "own")
+                   .groupBy("page_id", "u", "v").applyInPandas(_sweep(shape), "rid long, is_kept boolean"))
+        new = fate.filter("is_kept").select("rid")
+        kept.append(new)
+        rest = cut(left.join(fate, "rid", "left_anti"))
+        if rest.isEmpty():
+            break
+        met = grid.conflicts(rest, left.join(new, "rid", "left_semi"))
+        left = cut(rest.join(met.select("page_id", "prio").distinct(), ["page_id", "prio"], "left_anti"))
+    winners = cut(work.join(reduce(DataFrame.unionByName, kept), "rid", "left_semi"))
     own = winners.select("page_id", "prio", F.col("prio").alias("k_prio"))
-    met = grid.conflicts(work, winners).filter("k_prio < prio").unionByName(own) if kept else own
+    met = grid.conflicts(work, winners).filter("k_prio < prio").unionByName(own) if grid.classes else own
     by = met.groupBy("page_id", "prio").agg(F.min("k_prio").alias("kept_by"))
     by = by.withColumn("kept", F.col("kept_by") == F.col("prio")).withColumn("rounds", F.lit(rounds))
     return (df.withColumn("prio", F.struct(*order)).join(by, ["page_id", "prio"])
