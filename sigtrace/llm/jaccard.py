@@ -219,16 +219,8 @@ def _block(percent: int):
     return work
 
 
-def jaccard_groups(df: DataFrame, size: int = 5, percent: int = 75, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, n_shingles, component_id) per row: the smallest id reachable by links of at least ``percent`` Jaccard.
-
-    Exact up to equal 64-bit hashes. Null and empty texts have no shingles and
-    link with nothing; the ids are whole numbers; a null id is kept and never
-    the smallest, and a component of null ids only has the id null. Rows with
-    one id and different texts are linked only if their texts are; repeated
-    rows are returned as often as they came. An empty table gives no rows; other
-    columns are not read.
-    """
+def _grouped(df: DataFrame, size: int, percent: int, text_col: str, id_col: str) -> DataFrame:
+    """(id, n, digest, row, component, root) per row: its set, and of linked sets the smallest id and a common number."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n_docs = df.count()
     bits, drop = bucket_bits(n_docs), 64 - key_bits(n_docs)
@@ -243,15 +235,72 @@ def jaccard_groups(df: DataFrame, size: int = 5, percent: int = 75, text_col: st
     links = _links(blocks, keys, percent)
     joined = components(links)
     low = joined.join(nodes.select("nid", "low"), F.col("node") == F.col("nid"))
-    low = low.join(low.groupBy("root").agg(F.min("low").alias("component")), "root").select("nid", "component")
-    known = (nodes.join(low, "nid", "left").select("digest", "n", F.coalesce("component", "low").alias("component")))
-    out = rows.join(known, ["digest", "n"], "left")
+    low = low.join(low.groupBy("root").agg(F.min("low").alias("component")), "root").select("nid", "component", "root")
+    known = nodes.join(low, "nid", "left").select("digest", "n", F.coalesce("component", "low").alias("component"), F.coalesce("root", "nid").alias("root"))
+    return rows.join(known, ["digest", "n"], "left")
+
+
+def jaccard_groups(df: DataFrame, size: int = 5, percent: int = 75, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, n_shingles, component_id) per row: the smallest id reachable by links of at least ``percent`` Jaccard.
+
+    Exact up to equal 64-bit hashes. Null and empty texts have no shingles and
+    link with nothing; the ids are whole numbers; a null id is kept and never
+    the smallest, and a component of null ids only has the id null. Rows with
+    one id and different texts are linked only if their texts are; repeated
+    rows are returned as often as they came. An empty table gives no rows; other
+    columns are not read.
+    """
+    out = _grouped(df, size, percent, text_col, id_col)
     none = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     kind = df.schema[id_col].dataType
     return out.select(none("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"),
                       F.coalesce("component", none("id")).cast(kind).alias("component_id"))
 
 
+def first_rows(df: DataFrame, size: int = 5, percent: int = 75, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row of each group of linked texts, with all its columns: the one with the smallest id.
+
+    Decided by row: a null id comes after all others, and of rows with one id
+    and different texts each belongs to the group of its own text. Of rows equal in id and shingles the
+    first by text stays. Rows without words link with nothing and all stay. An empty table gives no rows;
+    columns of any kind and name are kept.
+
+    Ids none of whose rows stays are dropped by a join, so that texts stay where they are; only rows
+    whose id does not tell (null, or of several rows) are looked at again.
+    """
+    groups = _grouped(df, size, percent, text_col, id_col)
+    group = [F.col("root"), F.when(F.col("root").isNull(), F.col("digest")), F.when(F.col("root").isNull(), F.col("n"))]
+    order = F.struct(F.col("id") == NO_ID, "id", "digest", "n")
+    sets = cut(groups.where("n > 0").groupBy(*[g.alias(f"g{k}") for k, g in enumerate(group)], "id", "digest", "n").agg(F.count("*").alias("rows")))
+    best = sets.groupBy("g0", "g1", "g2").agg(F.min(order).alias("first")).select("first.id", "first.digest", "first.n", F.lit(True).alias("stays"))
+    told = sets.groupBy("id", "digest", "n").agg(F.sum("rows").alias("rows")).join(best, ["id", "digest", "n"], "left")
+    told = told.unionByName(groups.where("n = 0").groupBy("id", "digest", "n").agg(F.count("*").alias("rows")).withColumn("stays", F.lit(True)))
+    told = cut(told.withColumn("stays", F.coalesce("stays", F.lit(False))))
+    ids = cut(told.groupBy("id").agg(F.max("stays").alias("stays"), F.sum("rows").alias("rows")))
+    small = lambda f: F.broadcast(f) if f.count() <= BROADCAST_IDS else f
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    marked = df.select(F.struct("*").alias("doc"), key.alias("id"))
+    gone = ids.where("NOT stays").select("id")
+    unclear = cut(ids.where(f"stays AND (rows > 1 OR id = {NO_ID})").select("id"))
+    left = marked.join(small(gone), "id", "left_anti")
+    clear = left.join(small(unclear), "id", "left_anti").select("doc.*")
+    if not unclear.limit(1).count():
+        return clear
+
+    def sign(batch):
+        own = [shingle_set(t, size) for t in texts(batch, "text")]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(digest, own), pa.int64()), pa.array(map(len, own), pa.int64())],
+                                         names=[*batch.schema.names, "digest", "n"])
+
+    again = left.join(small(unclear), "id", "left_semi").select("doc", "id", F.col(f"doc.{text_col}").alias("text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in again.schema) + ", digest long, n long"
+    again = map_arrow(again, sign, schema).join(told.where("stays").select("id", "digest", "n"), ["id", "digest", "n"])
+    plain = [F.col(f"doc.`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    one = (again.where("n > 0").groupBy("id", "digest", "n").agg(F.min_by("doc", F.struct("text", F.xxhash64(*plain))).alias("doc"))
+           .select("doc").unionByName(again.where("n = 0").select("doc")))
+    return clear.unionByName(one.select("doc.*"))
+
+
 def _nodes(docs: DataFrame, able: DataFrame, size: int) -> DataFrame:
     """The distinct sets of documents that may have a partner: (nid, digest, n, low, shingles)."""
     ids = F.broadcast(able) if able.count() <= BROADCAST_IDS else able
