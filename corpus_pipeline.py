@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from sigtrace import session
 from sigtrace.llm import jaccard, langid, mixing, packing, quality
@@ -24,24 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id, as one row; rows without an id stay.
-
-    What goes is told by id, so that the texts stay where they are while the ids
-    can be broadcast. Of several rows with one id the first by text stays.
-    """
-    groups = jaccard.jaccard_groups(docs).where("doc_id IS NOT NULL")
-    ids = session.cut(groups.groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("first"), F.count("*").alias("rows")))
-    left = docs.join(_checked(ids.where("NOT first").select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
-    twice = ids.where("first AND rows > 1").select("doc_id")
-    if not twice.limit(1).count():
-        return left
-    several = left.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", F.struct(*docs.columns).alias("doc"))).alias("row"))
-    return left.join(_checked(twice), "doc_id", "left_anti").select(*docs.columns).unionByName(several.select("row.doc.*"))
-
-
-def _checked(ids: DataFrame) -> DataFrame:
-    """Broadcast up to the size that the join's own ids are; more are joined by a shuffle."""
-    return F.broadcast(ids) if ids.count() <= jaccard.BROADCAST_IDS else ids
+    """One row of each group of near copies, by row: null and repeated ids included; rows without words all stay."""
+    return jaccard.first_rows(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
