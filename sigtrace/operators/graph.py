@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .runs import TILE, runs
 
+BAND_RUNS = 100_000
 ROW_BITS = 32  # a run's id is its row and start column, each an int, packed into one long
 
 
@@ -84,35 +87,70 @@ def label_pixels(mask: DataFrame, labelled: DataFrame | None = None) -> DataFram
     return mask.join(cells, ["page_id", "x", "y"])
 
 
-def hop_distance(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, steps: int = 4) -> DataFrame:
+def _bands(nodes: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(pages, nodes with ``band``): a page with up to ``most`` runs is one band, others have half as many in each."""
+    row = F.shiftright("node", ROW_BITS)
+    pages = nodes.groupBy("page_id").agg(F.min(row).alias("_top"), F.when(F.count("*") <= most, F.lit(1 << ROW_BITS)).otherwise(
+        F.greatest(F.lit(1), F.floor((F.max(row) - F.min(row) + 1) * most / (2 * F.count("*"))))).alias("_rows"))
+    return pages, nodes.select("page_id", "node").join(pages, "page_id").select(
+        "page_id", "node", F.floor((row - F.col("_top")) / F.col("_rows")).alias("band"))
+
+
+def _spread(key, edges: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+    """Hops within a band from its new marks, as far as they better what is known; only bettered nodes are returned."""
+    known = dict(zip(marks["node"].to_numpy()[~marks["fresh"]].tolist(), marks["dist"].to_numpy()[~marks["fresh"]].tolist(), strict=True))
+    fresh = marks[marks["fresh"]].sort_values("dist")
+    out: dict[int, int] = {}
+    order = np.argsort(edges["a"].to_numpy(), kind="stable")
+    ends, heads = edges["a"].to_numpy()[order], edges["b"].to_numpy()[order]
+    starts = np.flatnonzero(np.diff(ends, prepend=ends[0] - 1 if len(ends) else 0))
+    after = dict(zip(ends[starts].tolist(), np.split(heads, starts[1:]), strict=True)) if len(ends) else {}
+    waiting, level, front = list(zip(fresh["dist"].tolist(), fresh["node"].tolist(), strict=True))[::-1], 0, []
+    while waiting or front:
+        if not front:
+            level = waiting[-1][0]
+        while waiting and waiting[-1][0] <= level:
+            front.append(waiting.pop()[1])
+        better = [n for n in dict.fromkeys(front) if level < known.get(n, 1 << 62)]
+        for n in better:
+            known[n] = out[n] = level
+        front = [m for n in better if n in after for m in after[n].tolist()]
+        level += 1
+    return pd.DataFrame({"page_id": [key[0]] * len(out), "band": [key[1]] * len(out), "node": list(out), "dist": list(out.values())})
+
+
+def hop_distance(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, most: int = BAND_RUNS) -> DataFrame:
     """Breadth-first hops over runs from each page's seed ``page_id, node``.
 
-    Returns the reached nodes with ``dist``.  ``steps`` levels run per job, until
-    no node is left to reach.
+    Returns the reached nodes with ``dist``.  A page is cut into bands of rows; a round
+    walks each band that a better distance has entered from end to end, then passes on
+    what leaves it.  So jobs follow the bands that a line crosses, not its runs, and a page of
+    up to ``most`` runs takes one round.  A band holds ``most`` runs or one row.
     """
-    ways = [edges.select(F.col("page_id").alias("_p"), F.col(s).alias("_from"), F.col(t).alias("_to"))
-            for s, t in (("a", "b"), ("b", "a"))]
-    both = cut(ways[0].unionByName(ways[1]))
-    front = seeds.select("page_id", "node", F.lit(0).alias("dist"))
-    done, recent, level = [], front, 0
-    front = recent = cut(front)
-    done.append(front)
+    _, placed = _bands(nodes, most)
+    placed = cut(placed)
+    kind = nodes.schema["page_id"].dataType.simpleString()
+    ways = edges.select("page_id", "a", "b").unionByName(edges.select("page_id", F.col("b").alias("a"), F.col("a").alias("b")))
+    of = lambda end, band: placed.select("page_id", F.col("node").alias(end), F.col("band").alias(band))
+    ways = cut(ways.join(of("a", "band"), ["page_id", "a"]).join(of("b", "to"), ["page_id", "b"]))
+    within, across = ways.filter("band = to"), ways.filter("band <> to")
+    fresh = cut(seeds.join(placed, ["page_id", "node"]).select("page_id", "band", "node", F.lit(0).cast("long").alias("dist")))
+    state = None
     while True:
-        found = []
-        for _ in range(steps):
-            level += 1
-            step = (front.join(both, (F.col("page_id") == F.col("_p")) & (F.col("node") == F.col("_from")))
-                    .select("page_id", F.col("_to").alias("node")).distinct())
-            # A neighbour of level n is on level n-1, n or n+1: two levels back suffice.
-            step = step.join(recent, ["page_id", "node"], "left_anti").withColumn("dist", F.lit(level))
-            found.append(step)
-            recent, front = front.unionByName(step), step
-        block = cut(reduce(DataFrame.unionByName, found))
-        done.append(block)
-        front = block.filter(F.col("dist") == level)
-        if front.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        recent = block.filter(F.col("dist") >= level - 1) if steps > 1 else done[-2].unionByName(block)
+        active = fresh.select("page_id", "band").distinct()
+        marks = fresh.withColumn("fresh", F.lit(True))
+        if state is not None:
+            marks = marks.unionByName(state.join(active, ["page_id", "band"], "left_semi").withColumn("fresh", F.lit(False)))
+        local = within.join(active, ["page_id", "band"], "left_semi").groupBy("page_id", "band")
+        marks = marks.select(*[F.col(c).alias(c) for c in marks.columns])  # columns of its own, apart from those of the edges
+        found = cut(local.cogroup(marks.groupBy("page_id", "band")).applyInPandas(_spread, f"page_id {kind}, band long, node long, dist long"))
+        state = found if state is None else cut(state.unionByName(found).groupBy("page_id", "band", "node").agg(F.min("dist").alias("dist")))
+        sent = (found.drop("band").join(across.select("page_id", F.col("a").alias("node"), "b", F.col("to").alias("band")), ["page_id", "node"])
+                .groupBy("page_id", "band", F.col("b").alias("node")).agg((F.min("dist") + 1).alias("dist")))
+        old = state.select("page_id", "node", F.col("dist").alias("had"))
+        fresh = cut(sent.join(old, ["page_id", "node"], "left").filter("had IS NULL OR dist < had").select("page_id", "band", "node", "dist"))
+        if fresh.isEmpty():
+            return state.select("page_id", "node", F.col("dist").cast("int").alias("dist"))
 
 
 NEIGHBOURS = [(-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]
