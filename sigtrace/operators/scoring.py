@@ -25,7 +25,7 @@ def _clamp(value, low, high):
     return F.least(high, F.greatest(low, value))
 
 
-def _effect(kind: Column) -> Column:
+def effect(kind: Column) -> Column:
     """An event as the function x -> clamp(x + add, low, high)."""
     add = F.lit(0)
     for name, step in STEPS.items():
@@ -48,6 +48,11 @@ def _neutral() -> Column:
     return F.struct(F.lit(0).alias("add"), F.lit(-wide).alias("low"), F.lit(wide).alias("high"))
 
 
+def compose(steps: Column) -> Column:
+    """One effect of an ordered array of structs with an effect ``f`` each."""
+    return F.aggregate(steps, _neutral(), lambda acc, s: _then(acc, s["f"]))
+
+
 def truth_score(events: DataFrame, start: int = START_SCORE, chunk: int = FOLD_CHUNK) -> DataFrame:
     """Fold each fact's events in time order into a score within 0..100 and its tier.
 
@@ -56,13 +61,13 @@ def truth_score(events: DataFrame, start: int = START_SCORE, chunk: int = FOLD_C
     is folded in ordered chunks, then the chunks likewise: no task or array ever holds
     more than ``chunk`` events, however many one fact has.
     """
-    rows = events.select("fact", F.struct("ts", "seq").alias("at"), _effect(F.col("kind")).alias("f"))
+    rows = events.select("fact", F.struct("ts", "seq").alias("at"), effect(F.col("kind")).alias("f"))
     counts = rows.groupBy("fact").agg(F.count("*").alias("n"))
     longest = counts.agg(F.max("n")).first()[0] or 0
 
     def fold(grouped):
         steps = F.array_sort(F.collect_list(F.struct("at", "f")))
-        return grouped.agg(F.aggregate(steps, _neutral(), lambda acc, s: _then(acc, s["f"])).alias("f"))
+        return grouped.agg(compose(steps).alias("f"))
 
     while longest > chunk:
         ranked = rank_within(rows, ["fact"], [F.col("at"), F.col("f")], "_rank")

@@ -218,12 +218,12 @@ def s_round(ev):
 @query("s_truth", f"""WITH lim AS (SELECT max(ts) - INTERVAL 1 MINUTE AS w FROM v_truth),
     tr AS (SELECT fact, count(*) AS events, list_reduce(list_prepend(80, list(CASE kind WHEN 'human' THEN 1000 WHEN 'ok' THEN 10 WHEN 'fail' THEN -20 ELSE -30 END ORDER BY ts, seq, kind)),
       lambda a, b: CASE WHEN b = 1000 THEN 100 ELSE greatest(0, least(100, a + b)) END) AS score FROM v_truth, lim
-      WHERE ts <= date_trunc('milliseconds', w) GROUP BY fact)
+      WHERE date_trunc('second', ts) + INTERVAL 1 SECOND <= date_trunc('milliseconds', w) GROUP BY fact)
     SELECT fact, events, CAST(score AS BIGINT) AS score FROM tr""")
 def s_truth(ev):
     events = ev.v_truth.withColumn("ts", F.col("ts").cast("timestamp"))
     stream = ev.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(_run_files(events, 4, "ts"))
-    scored = _drain(rounds.stream_truth_score(stream, "1 minute"), "update")
+    scored = _drain(rounds.stream_truth_score(stream, "1 minute"), "append")
     last = F.max_by(F.struct("events", "score"), "events").alias("s")
     return scored.groupBy("fact").agg(last).select("fact", "s.events", "s.score")
 

@@ -15,6 +15,8 @@ TUNING = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # state on disk rather than in executors' memory; state of a processor of one's own needs it
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # texts may be long: smaller batches keep Python workers small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
 }

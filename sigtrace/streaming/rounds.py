@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import schema
-from ..operators.scoring import HIGH, HUMAN_SCORE, LOW, START_SCORE, STEPS, tier
+from ..operators.scoring import START_SCORE, compose, effect, tier
 
 
 def stream_hits(spark: SparkSession, folder: str, files_per_trigger: int = 100,
@@ -34,43 +34,44 @@ def stream_round_metrics(hits: DataFrame, width: str = "1 day", delay: str = "1
             .select(F.col("window.start").alias("round_start"), *by, "hits"))
 
 
-_STATE = "score long, events long, at array<long>, seq array<long>, kind array<string>"
+_STATE = "score long, events long"
 _OUT = "fact long, events long, score long"
 
 
-def _folder(steps: dict[str, int], start: int, low: int, high: int, human: int):
-    """The state function; a closure, so executors need nothing of this package."""
-
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # Fold what the watermark has passed, in time order; keep the rest in state.
-        score, done, at, seq, kind = state.get if state.exists else (start, 0, [], [], [])
-        waiting = list(zip(at, seq, kind))
-        for batch in batches:
-            stamps = batch["ts"].astype("datetime64[us]").astype("int64")
-            waiting.extend(zip(stamps.tolist(), batch["seq"].tolist(), batch["kind"].tolist()))
-        watermark = state.getCurrentWatermarkMs()
-        ready = sorted((w for w in waiting if w[0] <= watermark * 1000),
-                       key=lambda w: (w[0], w[1], steps.get(w[2], 0), w[2] == "human"))
-        rest = [w for w in waiting if w[0] > watermark * 1000]
-        for _, _, what in ready:
-            score = human if what == "human" else min(high, max(low, score + steps.get(what, 0)))
-        done += len(ready)
-        state.update((score, done, [w[0] for w in rest], [w[1] for w in rest], [w[2] for w in rest]))
-        if rest:
-            state.setTimeoutTimestamp(max(min(w[0] for w in rest) // 1000 + 1, watermark + 1))
-        if ready:
-            yield pd.DataFrame({"fact": [key[0]], "events": [done], "score": [score]})
-
-    return fold
-
-
-def stream_truth_score(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+def _running(start: int) -> StatefulProcessor:
+    """The processor of a fact's closed buckets, which come in order of time; its state is two numbers.
+
+    The class is made here, so that executors need nothing of this package.
+    """
+    class Running(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("running", _STATE)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            score, done = self.state.get() if self.state.exists() else (start, 0)
+            for step in pd.concat(list(rows)).sort_values("bucket").itertuples(index=False):
+                score, done = min(step.high, max(step.low, score + step.add)), done + step.n
+            self.state.update((int(score), int(done)))
+            yield pd.DataFrame({"fact": [key[0]], "events": [int(done)], "score": [int(score)]})
+
+        def close(self) -> None:
+            pass
+
+    return Running()
+
+
+def stream_truth_score(events: DataFrame, delay: str = "1 hour", bucket: str = "1 second") -> DataFrame:
     """Running score per fact; events arriving out of order within ``delay`` are put in order.
 
-    ``events``: fact, ts, seq, kind.  Emits a fact's score whenever the watermark has
-    passed further events of it, equal times and seqs in the order of ``truth_score``; later rows
+    ``events``: fact, ts, seq, kind.  Events of a fact within a ``bucket`` of time are folded into one
+    effect (see ``scoring``) once the watermark has closed it, so a fact with any number of events is spread over its
+    buckets; the closed buckets reach its state in order of time.  Emits a fact's score with every
+    bucket that closes, equal times and seqs in the order of ``truth_score``; later rows
     are dropped, as in ``stream_dedup``; the latest row per fact has the highest ``events``.
     """
-    scored = (events.withWatermark("ts", delay).groupBy("fact")
-              .applyInPandasWithState(_folder(STEPS, START_SCORE, LOW, HIGH, HUMAN_SCORE), _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout))
+    rows = events.withWatermark("ts", delay).select("fact", "ts", F.struct("ts", "seq").alias("at"), effect(F.col("kind")).alias("f"))
+    steps = F.array_sort(F.collect_list(F.struct("at", "f")))
+    closed = (rows.groupBy("fact", F.window("ts", bucket)).agg(compose(steps).alias("f"), F.count("*").alias("n"))
+              .select("fact", F.col("window.start").alias("bucket"), "n", "f.add", "f.low", "f.high"))
+    scored = closed.groupBy("fact").transformWithStateInPandas(_running(START_SCORE), _OUT, "append", "None")
     return scored.withColumn("tier", tier(F.col("score")))
