@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import shapes
 from ..functions.text import ref_reads, text_matches, text_verdict
-from .ordered import first_per, top_per
-from .spatial import near_pairs
+from .ordered import first_per
+from .spatial import nearest_k
 
 
 def _failed(rules: dict):
@@ -88,37 +86,16 @@ def reverse_check(components: DataFrame, reads: DataFrame) -> DataFrame:
     return components.join(tested.drop("refdes"), "ord")
 
 
-def relocate(components: DataFrame, symbols: DataFrame, reads: DataFrame, n: int = 10,
-             radius: float = 128) -> DataFrame:
+def relocate(components: DataFrame, symbols: DataFrame, reads: DataFrame, n: int = 10) -> DataFrame:
     """For failed components the nearest of the ``n`` closest symbols that reads its name.
 
     ``components``: page_id, ord, refdes, x, y (the label's place), text_box;
     ``symbols``: page_id, s_ord, sx, sy; ``reads``: s_ord, text.  Symbols inside the
-    component's text box are passed over.  The search widens until ``n`` symbols are
-    found or the page is exhausted.
+    component's text box are passed over.  Components of one place share a search, which
+    widens until ``n`` symbols are found or the page is exhausted.
     """
-    extent = symbols.agg(F.max("sx"), F.min("sx"), F.max("sy"), F.min("sy")).first()
-    span = components.agg(F.max("x"), F.min("x"), F.max("y"), F.min("y")).first()
-    if None in extent or None in span:
-        return components.select("page_id", "ord", "refdes", *[F.lit(None).cast("long").alias(c)
-                                 for c in ("symbol", "symbol_x", "symbol_y", "distance")]).limit(0)
-    limit = (max(extent[0], span[0]) - min(extent[1], span[1])) + (max(extent[2], span[2]) - min(extent[3], span[3]))
-    dist = geo.l1(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))
-    key = ["page_id", "ord"]
-    todo, found = components.select("page_id", "ord", "refdes", "x", "y", "text_box"), []
-    while True:
-        pairs = near_pairs(todo, symbols, radius, ["page_id"], right_xy=("sx", "sy"), where=dist <= radius)
-        near = top_per(pairs.withColumn("distance", dist), key, [F.col("distance"), F.col("s_ord")], n)
-        if radius >= limit:
-            found.append(near)
-            break
-        full = near.filter(F.col("rank") == n).select(*key)
-        found.append(near.join(full, key, "left_semi"))
-        todo = todo.join(full, key, "left_anti")
-        if todo.isEmpty():
-            break
-        radius *= 8
-    near = reduce(DataFrame.unionByName, found)
+    key, own = ["page_id", "ord"], components.select("page_id", "ord", "refdes", "x", "y", "text_box")
+    near = own.join(nearest_k(own, symbols, n), ["page_id", "x", "y"])
     outside = near.filter(~geo.in_box(F.col("sx"), F.col("sy"), F.col("text_box")))
     texts = reads.select("s_ord", "text").distinct()
     good = outside.join(texts, "s_ord").filter(ref_reads(F.col("refdes"), F.col("text")))

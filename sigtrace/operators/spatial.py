@@ -8,8 +8,9 @@ searches look at fine cells first and widen only for what is still open.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -89,6 +90,48 @@ def nearest(queries: DataFrame, targets: DataFrame, radius: float, keys: list[st
     return asked.join(found, [*keys, "x", "y", "q_class"], "left").drop("q_class")
 
 
+def nearest_k(points: DataFrame, targets: DataFrame, n: int, key: str = "page_id", ident: str = "s_ord", xy=("sx", "sy")) -> DataFrame:
+    """The ``n`` nearest targets of each distinct point (``key, x, y``) by Manhattan distance, ties to the smaller ``ident``.
+
+    Rings of growing reach, begun where a page's density promises enough targets: a pass
+    looks only beyond the pass before and only for points that still lack some, keeps the best
+    so far, and ends a point as soon as its n-th distance lies within reach or its page is
+    exhausted.  Returns key, x, y, ident, the target's place, ``distance`` and ``rank``.
+    """
+    place = [key, "x", "y"]
+    tx, ty = xy
+    asked = points.select(*place).distinct()
+    spread = targets.select(key, F.col(tx).alias("x"), F.col(ty).alias("y"), F.lit(1).alias("n")).unionByName(asked.withColumn("n", F.lit(0)))
+    wide, high = F.max("x") - F.min("x") + 1, F.max("y") - F.min("y") + 1
+    pages = spread.groupBy(key).agg((wide + high).cast("double").alias("limit"), F.sum("n").alias("many"),
+                                    F.sqrt(2 * n * wide * high / F.greatest(F.sum("n"), F.lit(1))).alias("reach"))
+    pages = cut(pages.filter("many > 0").drop("many"))
+    todo = cut(asked.join(pages, key).withColumn("before", F.lit(-1.0)))
+    offers = targets.select(key, ident, tx, ty)
+    some, found = None, []
+    around = F.array(*map(F.lit, (-1, 0, 1)))
+    at = lambda c: F.floor(F.col(c) / F.col("reach"))
+    step = 0
+    while not todo.isEmpty():
+        scale = pages.select(key, (F.col("reach") * 4 ** step).alias("reach"))
+        filed = (offers.join(scale, key).withColumn("_cx", at(tx)).withColumn("_cy", at(ty)).drop("reach")
+                 .withColumn("_cx", F.explode(F.transform(around, lambda o: F.col("_cx") + o)))
+                 .withColumn("_cy", F.explode(F.transform(around, lambda o: F.col("_cy") + o))))
+        distance = F.abs(F.col("x") - F.col(tx)) + F.abs(F.col("y") - F.col(ty))
+        pairs = (todo.withColumn("_cx", at("x")).withColumn("_cy", at("y")).join(filed, [key, "_cx", "_cy"])
+                 .withColumn("distance", distance).filter("distance > before AND distance <= reach").select(*place, ident, tx, ty, "distance"))
+        near = pairs if some is None else pairs.unionByName(some)
+        near = cut(near.withColumn("rank", F.row_number().over(Window.partitionBy(*place).orderBy("distance", ident))).filter(F.col("rank") <= n))
+        full = near.filter(F.col("rank") == n).select(*place)
+        left = todo.join(full, place, "left_anti")
+        open_ = cut(left.filter("reach < limit").withColumn("before", F.col("reach")).withColumn("reach", F.col("reach") * 4))
+        found.append(near.join(open_.select(*place), place, "left_anti"))
+        some = near.drop("rank").join(open_.select(*place), place, "left_semi")
+        todo, step = open_, step + 1
+    return reduce(DataFrame.unionByName, found) if found else asked.join(offers, key).select(
+        *place, ident, tx, ty, F.lit(0).alias("distance"), F.lit(0).alias("rank")).limit(0)
+
+
 def level_of(extent: Column) -> Column:
     """Coarsest-needed grid level: the first cell size not below the extent."""
     ladder = F.when(extent <= LEVELS[0], 0)
