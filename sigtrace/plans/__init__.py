@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("board", "schematic", "page", "combined")
+MODULES = ("board", "schematic", "page", "combined", "files")
 
 
 def load():
