@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
 
@@ -20,28 +21,32 @@ FIT_PAGES = 300
 FIT_BLOCKS = 60
 PATH_BUCKETS, PATH_WIDTH, WORD_BUCKETS, WORD_WIDTH, HIDDEN, EPOCHS, STEPS, SEED = 1024, 12, 2048, 6, 16, 5, 150, 3
 
+#: Of the names around a block the nearest so many tell what it is.
+PATH_NAMES = 64
+
 #: Elements that begin and end blocks; elements without content; elements whose content is no text of the page.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
                   "form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section select summary "
                   "table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TEXT = frozenset("script style noscript template textarea title iframe object svg math canvas audio video head".split())
+HIDDEN_TEXT = frozenset("script style template textarea title svg head".split())
 #: An opening tag on the left ends an open element on the right.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 #: Words of elements and classes by which pages commonly tell what a part is; they label what the network learns from.
 MAIN_WORDS = "article main content post entry story text body".split()
 OTHER_WORDS = ("nav menu header footer aside sidebar notice cookie consent banner ad ads advert advertisement promo sponsored newsletter subscribe "
-               "form login search comment comments reply related share social breadcrumb pagination popup modal widget").split()
+               "gdpr cookies privacy disclaimer form login search comment comments reply related share social breadcrumb pagination popup modal widget").split()
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<[!?][^>]*>|[^<]+|<""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>|<[!?][^<>]*>?|[^<]+|<""", re.S)
+_LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>?|<[!?][^<>]*>?|[^<]+|<", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
 @dataclass
 class Block:
-    """A run of text between block tags: the names on its way from the root, its own tag, its text, its letters in links."""
+    """A run of text between block tags: the nearest names on its way from the root, each once, its own tag, its text, its letters in links."""
 
     path: tuple[str, ...]
     tag: str
@@ -50,23 +55,35 @@ class Block:
 
 
 def blocks(page: str | None) -> list[Block]:
-    """Blocks of a page in order; markup, comments and hidden elements gone, references decoded, blanks made one."""
+    """Blocks of a page in order; markup, comments and hidden elements gone, references decoded, blanks made one.
+
+    The page is walked once. A tag that nothing closes has no quotes to respect any more, nor have those
+    after it; elements that are never ended are looked for once.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    count: Counter[str] = Counter()  # open elements by tag
     parts: list[str] = []
     state = {"links": 0, "linked": 0}
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(tuple(n for _, own in stack for n in own), stack[-1][0] if stack else "", text, min(len(text), state["linked"])))
+            tag, path = stack[-1] if stack else ("", ())
+            out.append(Block(path, tag, text, min(len(text), state["linked"])))
         parts.clear()
         state["links"] = state["linked"] = 0
 
-    at, page = 0, page or ""
-    while (m := _TOKEN.match(page, at)) is not None:
-        at = m.end()
+    def pop() -> None:
+        count[stack.pop()[0]] -= 1
+
+    at, page, pattern, endless = 0, page or "", _TOKEN, set()
+    while (m := pattern.match(page, at)) is not None:
         tag = m.group(2)
+        if tag is None and m.end() == at + 1 and page[at] == "<" and _LOOSE.match(page, at).group(2):
+            pattern = _LOOSE
+            continue
+        at = m.end()
         if tag is None:
             if page[m.start()] != "<" or at == m.start() + 1:
                 text = m.group()
@@ -78,13 +95,17 @@ def blocks(page: str | None) -> list[Block]:
         tag, closing = tag.lower(), bool(m.group(1))
         if tag in HIDDEN_TEXT:
             if not closing and not m.group(3).endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\b[^<>]*>?", re.I).search(page, at)
+                if not end:
+                    endless.add(tag)
                 stop = end.end() if end else len(page)
                 if tag == "head" and not end:  # no end tag: the body begins it
-                    body = re.compile(r"<body\b", re.I).search(page, at)
+                    body = None if "body" in endless else re.compile(r"<body\b", re.I).search(page, at)
+                    if not body:
+                        endless.add("body")
                     stop = body.start() if body else at
                 at = stop
-            if tag not in ("svg", "math", "canvas"):
+            if tag != "svg":
                 flush()
         elif tag == "a":
             state["links"] = 0 if closing else 1
@@ -93,18 +114,21 @@ def blocks(page: str | None) -> list[Block]:
         elif tag in BLOCK:
             flush()
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                while count[tag] and stack[-1][0] != tag:
+                    pop()
+                if count[tag]:
+                    pop()
             elif tag not in VOID:
                 if stack and stack[-1][0] == "p":  # a block ends an open paragraph
-                    stack.pop()
+                    pop()
                 for name in ENDS.get(tag, ()):
                     if stack and stack[-1][0] == name:
-                        stack.pop()
+                        pop()
                 names = " ".join(x for g in _NAMES.findall(m.group(3)) for x in g).lower() if m.group(3) else ""
-                stack.append((tag, (tag, *("." + w for w in _WORD.findall(names)))))
+                own = tuple(dict.fromkeys((tag, *("." + w for w in _WORD.findall(names)))))
+                above = stack[-1][1] if stack else ()
+                stack.append((tag, (*(n for n in above if n not in own), *own)[-PATH_NAMES:]))
+                count[tag] += 1
     flush()
     return out
 

@@ -203,21 +203,31 @@ class Scanner:
                 before = here
             if before[0] >= self.RUN:
                 matches.append((stop - 1, *before))
+        enough = [min(self.SHARE * n, self.LONG) for n in self.sizes]
         open_chains: dict[int, list[list[int]]] = {}  # template -> [first, last, template end, words covered]
+        closed: list[tuple[int, list[int]]] = []
         for last, size, state in matches:
+            first = last - size + 1  # never falls from match to match, so a chain too far back is done
             for template, end in self.automaton.ends[state].items():
-                best = None
-                for chain in open_chains.setdefault(template, []):
+                live, best = [], None
+                for chain in open_chains.get(template, ()):
+                    if first - chain[1] > self.GAP:
+                        closed.append((template, chain))
+                        continue
+                    live.append(chain)
                     fresh = min(size, last - chain[1], end - chain[2])
-                    if fresh > 0 and last - size + 1 - chain[1] <= self.GAP and (best is None or chain[3] > best[0][3]):
+                    if fresh > 0 and (best is None or chain[3] > best[0][3]):
                         best = (chain, fresh)
                 if best:
                     chain, fresh = best
                     chain[1:] = [last, end, chain[3] + fresh]
                 else:
-                    open_chains[template].append([last - size + 1, last, end, size])
-        return [Span(self.labels[t], t, c[0], c[1], min(1.0, c[3] / self.sizes[t]))
-                for t, chains in open_chains.items() for c in chains if c[3] >= min(self.SHARE * self.sizes[t], self.LONG)]
+                    live.append([first, last, end, size])
+                open_chains[template] = live
+        closed += [(t, c) for t, live in open_chains.items() for c in live]
+        order = {t: k for k, t in enumerate(open_chains)}
+        found = sorted(((order[t], c[0], t, c) for t, c in closed if c[3] >= enough[t]), key=lambda f: f[:2])
+        return [Span(self.labels[t], t, c[0], c[1], min(1.0, c[3] / self.sizes[t])) for _, _, t, c in found]
 
     def scan(self, text: str | None):
         """(n_words, base figures, spans)."""
