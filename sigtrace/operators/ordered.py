@@ -117,22 +117,35 @@ def islands(df: DataFrame, keys: list[str], pos: str, chunk: int = 4096) -> Data
 
 
 def cluster_1d(df: DataFrame, keys: list[str], pos: str, gap: float,
-               lo: str | None = None, hi: str | None = None) -> DataFrame:
+               lo: str | None = None, hi: str | None = None, chunk: int = 4096) -> DataFrame:
     """Group sorted positions whose step stays within ``gap``.
 
-    Rows sharing a position are merged first, so a key never brings more rows to
-    its window than it has distinct positions.  Returns the truncated mean of the
-    positions, their range, the span of ``lo``/``hi`` and the number of positions.
+    Rows sharing a position are merged first.  Groups are found within chunks ``chunk``
+    gaps wide; only those within a gap of a chunk's border are then joined up over the key, so
+    no task ever sorts all positions of one.  Returns the truncated mean of the
+    positions, their range, the span of ``lo``/``hi`` and the number of positions; ``cluster`` counts a key's groups from 1.
     """
-    spans = [F.min(lo or pos).alias("_lo"), F.max(hi or pos).alias("_hi")]
-    points = df.groupBy(*keys, pos).agg(*spans)
-    line = Window.partitionBy(*keys).orderBy(pos)
-    step = F.col(pos) - F.lag(pos).over(line)
-    flagged = (points.withColumn("_new", F.when(step <= gap, 0).otherwise(1))
-               .withColumn("cluster", F.sum("_new").over(
-                   line.rowsBetween(Window.unboundedPreceding, 0))))
-    return flagged.groupBy(*keys, "cluster").agg(
-        F.avg(pos).cast("long").alias("mean_pos"),
-        F.min(pos).alias("first_pos"), F.max(pos).alias("last_pos"),
-        F.min("_lo").alias("span_lo"), F.max("_hi").alias("span_hi"),
-        F.count("*").alias("n"))
+    width = chunk * max(float(gap), 1.0)
+    points = df.groupBy(*keys, pos).agg(F.min(lo or pos).alias("_lo"), F.max(hi or pos).alias("_hi"))
+
+    def grouped(rows: DataFrame, by: list[str], first: str, last: str) -> DataFrame:
+        line = Window.partitionBy(*by).orderBy(first)
+        return (rows.withColumn("_new", F.when(F.col(first) - F.lag(last).over(line) <= gap, 0).otherwise(1))
+                .withColumn("_group", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+                .groupBy(*by, "_group"))
+
+    def merged(group, first: str, last: str, many) -> DataFrame:
+        return group.agg(F.min(first).alias("first_pos"), F.max(last).alias("last_pos"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"),
+                         F.sum(many[0]).alias("_sum"), F.sum(many[1]).alias("n"))
+
+    chunks = points.withColumn("_chunk", F.floor(F.col(pos) / width))
+    pieces = merged(grouped(chunks, [*keys, "_chunk"], pos, pos), pos, pos, (F.col(pos).cast("double"), F.lit(1)))
+    start = F.col("_chunk") * width
+    border = F.coalesce((F.col("first_pos") - start <= gap) | (start + width - F.col("last_pos") <= gap), F.lit(True))
+    final = ["first_pos", "last_pos", "_lo", "_hi", "_sum", "n"]
+    inner = pieces.filter(~border).select(*keys, *final)
+    linked = merged(grouped(pieces.filter(border).select(*keys, *final), keys, "first_pos", "last_pos"), "first_pos", "last_pos", ("_sum", "n"))
+    both = inner.unionByName(linked.select(*keys, *final))
+    return rank_within(both, keys, [F.col("first_pos")], "cluster").select(
+        *keys, "cluster", (F.col("_sum") / F.col("n")).cast("long").alias("mean_pos"), "first_pos", "last_pos",
+        F.col("_lo").alias("span_lo"), F.col("_hi").alias("span_hi"), "n")
