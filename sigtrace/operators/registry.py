@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions.text import (chain_tokens, component_type, misread_variants, norm_key,
                               plausible_refdes, refdes_all)
+from ..session import cut
 from .ordered import first_per, rank_within, top_per, with_neighbour
+from .spatial import nearest_k
 
 
 def refs_of_hits(hits: DataFrame, text: str = "text") -> DataFrame:
@@ -278,20 +280,25 @@ def segment_heading(segments: DataFrame, ends: DataFrame, key: str = "chain_id")
                     pick("x1", "x2").alias("head_x"), pick("y1", "y2").alias("head_y"))
 
 
-def choose_alternate(chain: DataFrame, places: DataFrame, key: str = "chain_id") -> DataFrame:
+def choose_alternate(chain: DataFrame, places: DataFrame, key: str = "chain_id", by: tuple[str, ...] = ()) -> DataFrame:
     """Among the places of a chain element the one closest to the element before it.
 
-    ``places``: refdes, ord, x, y (several per designator).  The first place of the
-    previous element is the point of reference; the first element takes its first place.
+    ``places``: refdes, ord, x, y (several per designator); ``by`` names the columns that tell
+    devices apart.  The first place of the previous element is the point of reference; the first
+    element takes its first place.  The search goes by grid cells of each part's places, so
+    an element never meets all places of its designator.
     """
-    spots = places.groupBy("refdes", "x", "y").agg(F.min("ord").alias("ord"))
-    main = first_per(spots, ["refdes"], ["ord"]).select("refdes", F.col("x").alias("mx"), F.col("y").alias("my"))
-    located = chain.select(key, "idx", "refdes").join(main, "refdes")
-    before = with_neighbour(located, [key], [F.col("idx")], -1, {"mx": "px", "my": "py"})
-    dist = F.when(F.col("px").isNull(), 0).otherwise(geo.l1(F.col("x"), F.col("y"), F.col("px"), F.col("py")))
-    options = before.join(spots, "refdes").withColumn("dist", dist)
-    # Options of a part are few distinct places; minima are combined before the shuffle.
-    return first_per(options.select(key, "idx", "refdes", "x", "y", "dist", "ord"), [key, "idx"], ["dist", "ord"])
+    part = F.struct(*by, "refdes").alias("part")
+    spots = places.groupBy(part, F.col("x").alias("sx"), F.col("y").alias("sy")).agg(F.min("ord").alias("s_ord"))
+    main = first_per(spots, ["part"], ["s_ord"]).select("part", F.col("sx").alias("mx"), F.col("sy").alias("my"), "s_ord")
+    located = chain.select(key, "idx", part).join(main, "part")
+    before = cut(with_neighbour(located, [key], [F.col("idx")], -1, {"mx": "x", "my": "y"}))
+    near = nearest_k(before.filter("x IS NOT NULL").select("part", "x", "y"), spots, 1, key="part")
+    out = [key, "idx", F.col("part.refdes").alias("refdes")]
+    first = before.filter("x IS NULL").select(*out, F.col("mx").alias("x"), F.col("my").alias("y"), F.lit(0).cast("long").alias("dist"), F.col("s_ord").alias("ord"))
+    rest = before.select(key, "idx", "part", "x", "y").join(near, ["part", "x", "y"]).select(
+        *out, F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("distance").alias("dist"), F.col("s_ord").alias("ord"))
+    return first.unionByName(rest)
 
 
 def correct_misreads(hits: DataFrame, universe: DataFrame) -> DataFrame:

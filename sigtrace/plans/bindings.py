@@ -45,16 +45,18 @@ VIEWS = {
                CASE l_returnflag WHEN 'A' THEN 'top' WHEN 'N' THEN 'bot' ELSE 'sch' END AS view_name,
                {_ref('l_partkey', 'l_partkey % 300')} AS text, l_discount * 10 AS conf,
                CASE l_linenumber % 3 WHEN 0 THEN 200 WHEN 1 THEN 300 ELSE 600 END AS src_dpi,
-               (l_partkey * 37 + l_suppkey) % 1600 AS x, (l_partkey * 53 + l_linenumber) % 2100 AS y
+               (l_partkey * 37 + l_suppkey) % 1600 AS x, (l_partkey * 53 + l_linenumber) % 2100 AS y,
+               CAST(l_suppkey AS BIGINT) AS device
         FROM lineitem""",
     "v_anchor": f"""
         SELECT s_suppkey AS ord, {_ref('s_suppkey', 's_suppkey % 300')} AS refdes,
                CASE s_suppkey % 2 WHEN 0 THEN 'top' ELSE 'bot' END AS view_name,
-               (s_suppkey * 97) % 4800 AS x, (s_suppkey * 89) % 6300 AS y
+               (s_suppkey * 97) % 4800 AS x, (s_suppkey * 89) % 6300 AS y, CAST(s_suppkey AS BIGINT) AS device
         FROM supplier""",
     "v_chain": f"""
         SELECT conv_id AS chain_id, turn AS idx, role AS type,
-               {_ref('(conv_id + turn)', '(conv_id * 8 + turn) % 400', 'F1')} AS refdes
+               {_ref('(conv_id + turn)', '(conv_id * 8 + turn) % 400', 'F1')} AS refdes,
+               CAST(conv_id AS BIGINT) AS device
         FROM conversations""",
     "v_pixel": f"""
         SELECT l_suppkey AS page_id, l_orderkey % {PAGE_W} AS x, l_partkey % {PAGE_H} AS y,

@@ -64,32 +64,32 @@ def q_agreement(ev):
 
 
 def merged_registry(ev: Evidence):
-    best = best_hits(ev)
-    schematic = ev.v_hit.filter("view_name = 'sch'").select(F.col("text").alias("refdes"), "ord", "x", "y")
-    top = best.filter("view_name = 'top'")
-    missing = ev.v_chain.select("refdes", F.concat("refdes", F.lit(" not found")).alias("note"),
+    refs = registry.refs_of_hits(ev.v_hit).filter("view_name = 'top'")
+    top = registry.best_hit(refs.select("device", "refdes", "ord", "conf", "x", "y"), ["device", "refdes"])
+    schematic = ev.v_hit.filter("view_name = 'sch'").select("device", F.col("text").alias("refdes"), "ord", "x", "y")
+    missing = ev.v_chain.select("device", "refdes", F.concat("refdes", F.lit(" not found")).alias("note"),
                                 (F.col("chain_id") * 8 + F.col("idx")).alias("ord"))
-    return registry.merge_sources(schematic, ev.v_anchor, top, missing)
+    return registry.merge_sources(schematic, ev.v_anchor, top, missing, by=("device",))
 
 
-_REGISTRY = f"""{_BEST},
-    sch AS (SELECT text AS refdes, arg_min(x, ord) AS x, arg_min(y, ord) AS y FROM v_hit WHERE view_name = 'sch' GROUP BY text),
-    anc AS (SELECT refdes, view_name, arg_max(x, ord) AS x, arg_max(y, ord) AS y FROM v_anchor GROUP BY refdes, view_name),
-    top AS (SELECT refdes, x, y FROM best WHERE view_name = 'top'),
-    mis AS (SELECT refdes, arg_max(concat(refdes, ' not found'), chain_id * 8 + idx) AS note FROM v_chain GROUP BY refdes),
-    refs AS (SELECT refdes FROM sch UNION SELECT refdes FROM anc UNION SELECT refdes FROM top UNION SELECT refdes FROM mis),
-    reg AS (SELECT r.refdes, s.x AS sch_x, coalesce(t.x, h.x) AS top_x, coalesce(t.y, h.y) AS top_y, b.x AS bot_x,
+_REGISTRY = """sch AS (SELECT device, text AS refdes, arg_min(x, ord) AS x, arg_min(y, ord) AS y FROM v_hit WHERE view_name = 'sch' GROUP BY device, text),
+    anc AS (SELECT device, refdes, view_name, arg_max(x, ord) AS x, arg_max(y, ord) AS y FROM v_anchor GROUP BY device, refdes, view_name),
+    top AS (SELECT device, text AS refdes, x, y FROM (
+      SELECT *, row_number() OVER (PARTITION BY device, text ORDER BY conf DESC, ord) AS rn FROM v_hit WHERE view_name = 'top') WHERE rn = 1),
+    mis AS (SELECT device, refdes, arg_max(concat(refdes, ' not found'), chain_id * 8 + idx) AS note FROM v_chain GROUP BY device, refdes),
+    refs AS (SELECT device, refdes FROM sch UNION SELECT device, refdes FROM anc UNION SELECT device, refdes FROM top UNION SELECT device, refdes FROM mis),
+    reg AS (SELECT r.device, r.refdes, s.x AS sch_x, coalesce(t.x, h.x) AS top_x, coalesce(t.y, h.y) AS top_y, b.x AS bot_x,
         CASE WHEN t.refdes IS NOT NULL OR b.refdes IS NOT NULL THEN 'confirmed' WHEN m.note IS NOT NULL THEN 'unverified'
              WHEN h.refdes IS NOT NULL THEN 'ocr_hit' ELSE 'schematic_only' END AS status,
         coalesce(m.note, '') AS note
-      FROM refs r LEFT JOIN sch s ON r.refdes = s.refdes
-      LEFT JOIN (SELECT * FROM anc WHERE view_name = 'top') t ON r.refdes = t.refdes
-      LEFT JOIN (SELECT * FROM anc WHERE view_name = 'bot') b ON r.refdes = b.refdes
-      LEFT JOIN top h ON r.refdes = h.refdes LEFT JOIN mis m ON r.refdes = m.refdes)"""
+      FROM refs r LEFT JOIN sch s ON r.device = s.device AND r.refdes = s.refdes
+      LEFT JOIN (SELECT * FROM anc WHERE view_name = 'top') t ON r.device = t.device AND r.refdes = t.refdes
+      LEFT JOIN (SELECT * FROM anc WHERE view_name = 'bot') b ON r.device = b.device AND r.refdes = b.refdes
+      LEFT JOIN top h ON r.device = h.device AND r.refdes = h.refdes LEFT JOIN mis m ON r.device = m.device AND r.refdes = m.refdes)"""
 
 
 @query("q_registry", f"""WITH {_REGISTRY}
-    SELECT refdes, CASE WHEN refdes LIKE 'IC%' THEN 'IC' WHEN refdes LIKE 'Q%' THEN 'transistor'
+    SELECT device, refdes, CASE WHEN refdes LIKE 'IC%' THEN 'IC' WHEN refdes LIKE 'Q%' THEN 'transistor'
         WHEN refdes LIKE 'R%' THEN 'resistor' WHEN refdes LIKE 'C%' THEN 'capacitor' WHEN refdes LIKE 'L%' THEN 'inductor'
         WHEN refdes LIKE 'D%' THEN 'diode' WHEN refdes LIKE 'F%' THEN 'filter' ELSE 'other' END AS type,
       status, note, CAST(sch_x AS DOUBLE) AS sch_x, CAST(top_x AS DOUBLE) AS top_x, CAST(top_y AS DOUBLE) AS top_y,
@@ -98,18 +98,18 @@ _REGISTRY = f"""{_BEST},
 def q_registry(ev):
     reg = merged_registry(ev)
     at = lambda view, c: F.try_element_at("views", F.lit(view))["px"][c]
-    return reg.select("refdes", "type", "status", "note", at("schematic", "x").alias("sch_x"),
+    return reg.select("device", "refdes", "type", "status", "note", at("schematic", "x").alias("sch_x"),
                       at("pcb_top", "x").alias("top_x"), at("pcb_top", "y").alias("top_y"),
                       at("pcb_bot", "x").alias("bot_x"), registry.is_linked(F.col("views")).alias("linked"))
 
 
 @query("q_registry_summary", f"""WITH {_REGISTRY}
-    SELECT count(*) AS components, count(*) FILTER (status = 'confirmed') AS confirmed,
+    SELECT device, count(*) AS components, count(*) FILTER (status = 'confirmed') AS confirmed,
       count(*) FILTER (status = 'ocr_hit') AS ocr_hit, count(*) FILTER (status = 'unverified') AS unverified,
       count(*) FILTER (status = 'schematic_only') AS schematic_only,
-      count(*) FILTER (sch_x IS NOT NULL AND (top_x IS NOT NULL OR bot_x IS NOT NULL)) AS linked FROM reg""")
+      count(*) FILTER (sch_x IS NOT NULL AND (top_x IS NOT NULL OR bot_x IS NOT NULL)) AS linked FROM reg GROUP BY device""")
 def q_registry_summary(ev):
-    return registry.registry_summary(merged_registry(ev))
+    return registry.registry_summary(merged_registry(ev), by=["device"])
 
 
 _CLASS = """CASE WHEN area > 15120000 THEN 'board'

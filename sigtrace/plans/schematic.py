@@ -297,17 +297,17 @@ def q_heading(ev):
         "chain_id", "idx", "tail_x", "tail_y", "head_x", "head_y", shape.alias("shape"))
 
 
-@query("q_alternate", f"""WITH p AS (SELECT text AS refdes, x, y, min(ord) AS ord FROM v_hit WHERE view_name = 'top' GROUP BY text, x, y),
-    m AS (SELECT refdes, arg_min(x, ord) AS mx, arg_min(y, ord) AS my FROM p GROUP BY refdes),
-    c AS (SELECT chain_id, idx, v.refdes, lag(mx) OVER w AS px, lag(my) OVER w AS py FROM v_chain v JOIN m ON v.refdes = m.refdes
+@query("q_alternate", f"""WITH p AS (SELECT device, text AS refdes, x, y, min(ord) AS ord FROM v_hit WHERE view_name = 'top' GROUP BY device, text, x, y),
+    m AS (SELECT device, refdes, arg_min(x, ord) AS mx, arg_min(y, ord) AS my FROM p GROUP BY device, refdes),
+    c AS (SELECT chain_id, idx, v.device, v.refdes, lag(mx) OVER w AS px, lag(my) OVER w AS py FROM v_chain v JOIN m ON v.device = m.device AND v.refdes = m.refdes
           WINDOW w AS (PARTITION BY chain_id ORDER BY idx))
     SELECT chain_id, idx, refdes, x, y, dist, ord FROM (
       SELECT c.chain_id, c.idx, c.refdes, p.x, p.y, p.ord, CASE WHEN px IS NULL THEN 0 ELSE abs(p.x - px) + abs(p.y - py) END AS dist,
         row_number() OVER (PARTITION BY c.chain_id, c.idx ORDER BY CASE WHEN px IS NULL THEN 0 ELSE abs(p.x - px) + abs(p.y - py) END, p.ord) AS rn
-      FROM c JOIN p ON c.refdes = p.refdes) WHERE rn = 1""")
+      FROM c JOIN p ON c.device = p.device AND c.refdes = p.refdes) WHERE rn = 1""")
 def q_alternate(ev):
-    places = ev.v_hit.filter("view_name = 'top'").select(F.col("text").alias("refdes"), "ord", "x", "y")
-    return registry.choose_alternate(ev.v_chain, places)
+    places = ev.v_hit.filter("view_name = 'top'").select("device", F.col("text").alias("refdes"), "ord", "x", "y")
+    return registry.choose_alternate(ev.v_chain, places, by=("device",))
 
 
 @query("q_touched", """
