@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from ..sources import readers, writers
+from ..sources import readers, tables, writers
 from .bindings import Evidence
 from .catalogue import query
 
@@ -147,8 +147,8 @@ def k_table(ev):
     """A table replaced as a whole, from rows read out of itself."""
     path, orders = _folder(ev), ev.table("orders").select("o_orderkey", "o_totalprice")
     writers.write_table(orders.withColumn("o_orderkey", -F.col("o_orderkey")), path)
-    writers.write_table(ev.spark.read.parquet(path).withColumn("o_orderkey", -F.col("o_orderkey")), path)
-    return ev.spark.read.parquet(path)
+    writers.write_table(tables.read(ev.spark, path).withColumn("o_orderkey", -F.col("o_orderkey")), path)
+    return tables.read(ev.spark, path)
 
 
 @query("k_knowledge", "SELECT l_partkey AS part, min(l_quantity) AS size FROM lineitem GROUP BY l_partkey")

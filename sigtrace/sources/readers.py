@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions.text import norm_key
 from ..operators.ordered import first_per
+from . import tables
+
 
 def _file():
     return F.col("_metadata.file_path").alias("source")
@@ -150,5 +152,5 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pixels(spark: SparkSession, path: str, pages: list | None = None) -> DataFrame:
     """Decoded pixel rows; ``pages`` prunes the page partitions."""
-    pixels = spark.read.parquet(path).select("page_id", "x", "y", "b", "g", "r")
+    pixels = tables.read(spark, path).select("page_id", "x", "y", "b", "g", "r")
     return pixels if pages is None else pixels.filter(F.col("page_id").isin(pages))

@@ -2,42 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tables
+
 
 def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Replace a table, or with ``by`` only the partitions that ``df`` brings.
+    """Replace a table, or with ``by`` only the partitions that ``df`` brings, in one step (see ``tables``).
 
-    A whole table is written beside the old one and takes its place when complete, so
-    a failed job leaves the old table, and ``df`` may read the table it replaces.
+    A failed job leaves the old table, and ``df`` may read the table it replaces; ``tables.read`` reads it.
     """
-    if by:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
-        return
-    path = path.rstrip("/")
-    new = f"{path}.new-{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    _replace(df.sparkSession, new, path)
-
-
-def _replace(spark: SparkSession, new: str, path: str) -> None:
-    """Rename ``new`` to ``path``; what was there goes only once that is done."""
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    target, source, aside = at(path), at(new), at(f"{path}.old-{uuid.uuid4().hex}")
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    had = files.exists(target)
-    if had and not files.rename(target, aside):
-        raise OSError(f"cannot move {path} aside")
-    if not files.rename(source, target):
-        if had:
-            files.rename(aside, target)
-        raise OSError(f"cannot rename {new} to {path}")
-    if had:
-        files.delete(aside, True)
+    tables.replace(df, path, by)
 
 
 def append_knowledge(df: DataFrame, path: str, key: list[str] | None = None) -> None:
