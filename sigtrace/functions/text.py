@@ -32,6 +32,7 @@ MODEL_PATTERNS = [r"^[A-Z]{1,4}\d[\w\-]{2,}$", r"^[A-Z]{1,4}-\d{2,}$"]
 
 _ANYWHERE = r"(?iU)\b(" + "|".join(REFDES_PREFIXES) + r")\s*(\d{1,4})\b"
 _HEAD = r"(?iU)^(" + "|".join(HEAD_PREFIXES) + r")\s*\d+"
+# Fixed value: how chain elements name parts.
 _CHAIN_TOKEN = r"[A-Z]{1,3}[0-9]{1,4}[A-Z]?"
 
 

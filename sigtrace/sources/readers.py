@@ -133,6 +133,7 @@ def read_part_names(spark: SparkSession, path: str) -> DataFrame:
     return _keyed(spark, path).select("source", "ord", F.col("key").alias("refdes"), F.col("entry").alias("name"))
 
 
+# Resolutions and markup of the word files.
 WORD_DPI, PAGE_DPI = 72, 300
 _WORD = r'<word xMin="([\d.]+)" yMin="([\d.]+)" xMax="[\d.]+" yMax="[\d.]+">(\d+)</word>'
 
