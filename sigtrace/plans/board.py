@@ -11,6 +11,7 @@ from ..operators.ordered import first_per
 from ..sources.readers import number_words
 from .bindings import Evidence
 from .catalogue import query
+from .pipelines import board_registry
 
 # Fixture parameters shared by a query and its SQL.
 BOARD_CENTRE = 2400
@@ -64,12 +65,9 @@ def q_agreement(ev):
 
 
 def merged_registry(ev: Evidence):
-    refs = registry.refs_of_hits(ev.v_hit).filter("view_name = 'top'")
-    top = registry.best_hit(refs.select("device", "refdes", "ord", "conf", "x", "y"), ["device", "refdes"])
-    schematic = ev.v_hit.filter("view_name = 'sch'").select("device", F.col("text").alias("refdes"), "ord", "x", "y")
     missing = ev.v_chain.select("device", "refdes", F.concat("refdes", F.lit(" not found")).alias("note"),
                                 (F.col("chain_id") * 8 + F.col("idx")).alias("ord"))
-    return registry.merge_sources(schematic, ev.v_anchor, top, missing, by=("device",))
+    return board_registry(ev.v_hit, ev.v_anchor, missing, by=("device",))
 
 
 _REGISTRY = """sch AS (SELECT device, text AS refdes, arg_min(x, ord) AS x, arg_min(y, ord) AS y FROM v_hit WHERE view_name = 'sch' GROUP BY device, text),
