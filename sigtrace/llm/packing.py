@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .subwords import separable
-from .textops import held, map_arrow
+from .textops import give_back, held, map_arrow
 from .tokens import SPLIT, byte_letters
 
 #: Pieces are packed in shards of about so many documents; each leaves at most about one badly filled bin.
@@ -47,9 +47,9 @@ class Encoder:
     and has no blank before it; the others have one. Irregular texts are encoded whole.
     """
 
-    MEMO = 300_000
+    MEMO = 200_000
     #: Bytes of text that are cut into units at once.
-    SLICE = 8_000_000
+    SLICE = 2_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,6 +63,7 @@ class Encoder:
         self.blank = np.array([(self.library.id_to_token(i) or "").startswith(blank) for i in range(self.library.get_vocab_size())])
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.quick = by_ranks(path)
+        give_back()  # what reading the vocabulary took
 
     def plain(self, parts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
