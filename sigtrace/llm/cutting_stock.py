@@ -132,10 +132,10 @@ class Program:
     def enter(self, take: dict[int, int], cost: float, pattern: bool) -> bool:
         """Bring a column into the basis if it lowers the cost."""
         rows, amounts = np.array(list(take)) - 1, np.array(list(take.values()), float)
-        reduced = cost - self.price[rows] @ amounts
+        reduced = cost - (self.price[rows] * amounts).sum()
         if reduced > -1e-7:
             return False
-        step = self.inverse[:, rows] @ amounts
+        step = (self.inverse[:, rows] * amounts).sum(1)  # no product of matrices: many threads for a small one only get in each other's way
         limit = np.where(step > 1e-9, self.x / np.maximum(step, 1e-9), np.inf)
         r = int(np.argmin(limit))
         if not np.isfinite(limit[r]):
@@ -160,12 +160,12 @@ class Program:
             for n, many in take.items():
                 basis[n - 1, k] = many
         self.inverse = np.linalg.inv(basis)
-        self.x = np.maximum(self.inverse @ self.right, 0)
-        self.price = self.cost @ self.inverse
+        self.x = np.maximum((self.inverse * self.right).sum(1), 0)
+        self.price = (self.cost[:, None] * self.inverse).sum(0)
 
     def solve(self) -> list[tuple[dict[int, int], bool, float]]:
         """(column, whether a pattern, how often) of the best solution found: patterns first, cuts where they don't suffice."""
-        pivots = renewed = 0
+        pivots = renewed = seen = 0
         for cutting in (False, True):
             before = np.inf
             while pivots < PIVOTS:
@@ -179,9 +179,11 @@ class Program:
                 if not entered:
                     break
                 pivots += entered
-                if pivots - renewed >= 100:
-                    self._renew()
-                    renewed, now = pivots, float(self.cost @ self.x)
+                if pivots - seen >= 100:
+                    if pivots - renewed >= 500:
+                        self._renew()
+                        renewed = pivots
+                    seen, now = pivots, float((self.cost * self.x).sum())
                     if before - now < 2e-4 * now:
                         break
                     before = now
