@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -13,6 +14,7 @@ from ..session import cut
 from .runs import TILE, runs
 
 BAND_RUNS = 100_000
+BAND_BITS = 12  # rows of a band in ``components``, as a power of two
 ROW_BITS = 32  # a run's id is its row and start column, each an int, packed into one long
 
 
@@ -41,24 +43,98 @@ def run_edges(nodes: DataFrame) -> DataFrame:
     down = tiled(nodes, 1).select("page_id", (F.col("pos") - 1).alias("_row"), "_t", F.col("node").alias("b"),
                                   F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
     pairs = up.join(down, ["page_id", "_row", "_t"])
-    return (pairs.filter((F.col("a_lo") <= F.col("b_hi") + 1) & (F.col("b_lo") - 1 <= F.col("a_hi")))
-            .select("page_id", "a", "b").distinct())
+    once = F.floor(F.greatest(F.col("a_lo"), F.col("b_lo") - 1) / TILE) == F.col("_t")  # where they first meet
+    return (pairs.filter(once & (F.col("a_lo") <= F.col("b_hi") + 1) & (F.col("b_lo") - 1 <= F.col("a_hi")))
+            .select("page_id", "a", "b"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _stars(most: int):
+    """Contracts sorted edges ``page_id, band, u, v`` in pieces of whole bands, or of ``most`` and more edges of one.
+
+    Both functions are made here, so that executors need nothing of this package.
+    """
+    def contract(rows: pd.DataFrame) -> pd.DataFrame:
+        """Each node ``u`` of some edges with the smallest node ``v`` they lead it to, but for those smallest nodes."""
+        page, names = pd.factorize(rows["page_id"])
+        at, node = np.concatenate([page, page]), np.concatenate([rows["u"].to_numpy(), rows["v"].to_numpy()])
+        order = np.lexsort((node, at))
+        at, node = at[order], node[order]
+        fresh = (np.diff(at, prepend=-1) != 0) | (np.diff(node, prepend=node[0]) != 0)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.cumsum(fresh) - 1
+        at, node = at[fresh], node[fresh]
+        a, b = place[:len(page)], place[len(page):]
+        low = np.arange(len(node))
+        while len(a):
+            x, y = low[a], low[b]
+            np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+            while (low[low] != low).any():
+                low = low[low]
+            open_ = low[a] != low[b]
+            a, b = a[open_], b[open_]
+        moved = low != np.arange(len(node))
+        return pd.DataFrame({"page_id": names[at[moved]], "u": node[moved], "v": node[low[moved]]})
+
+    def contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, many, piece = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            many += len(batch)
+            if many < most:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            last = (rows["page_id"] == rows["page_id"].iloc[-1]) & (rows["band"] == rows["band"].iloc[-1])
+            whole, rest = rows[~last], rows[last]
+            if len(whole):  # they may begin with the end of a band that was split
+                yield contract(whole).assign(piece=piece)
+                piece = 0
+            elif len(rest):
+                yield contract(rest).assign(piece=piece)
+                piece, rest = piece + 1, rest[:0]
+            held, many = ([rest], len(rest)) if len(rest) else ([], 0)
+        if many:
+            yield contract(pd.concat(held, ignore_index=True)).assign(piece=piece)
+
+    return contracted
+
+
+def components(nodes: DataFrame, edges: DataFrame, most: int = BAND_RUNS) -> DataFrame:
     """Label each ``node`` with the smallest node of its component.
 
+    Edges are first contracted band by band (4096 rows of a page) and within a band in pieces of some ``most``, each to
+    stars around its smallest nodes.  That settles all pages of one piece; on the others the stars go
+    through alternating large-star and small-star steps.
+    """
+    e = edges.select("page_id", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
+    band = F.shiftright("u", ROW_BITS + BAND_BITS).alias("band")
+    kind = edges.schema["page_id"].dataType.simpleString()
+    stars = (e.select("page_id", band, F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+             .repartition("page_id", "band").sortWithinPartitions("page_id", "band")
+             .mapInPandas(_stars(most), f"page_id {kind}, u long, v long, piece long"))
+    stars = cut(stars.select("page_id", band, "piece", "u", "v"))
+    split = stars.groupBy("page_id").agg(F.min("band").alias("first"), F.max("band").alias("last"), F.max("piece").alias("piece"))
+    split = cut(split.filter("first <> last OR piece > 0").select("page_id"))
+    labels = stars.select("page_id", "u", "v")
+    if not split.isEmpty():
+        joined = _star_steps(labels.join(split, "page_id", "left_semi").distinct())
+        labels = labels.join(split, "page_id", "left_anti").unionByName(joined)
+    labels = labels.select("page_id", F.col("u").alias("node"), F.col("v").alias("_label"))
+    return (nodes.join(labels, ["page_id", "node"], "left")
+            .withColumn("label", F.coalesce("_label", "node")).drop("_label"))
+
+
+def _star_steps(e: DataFrame) -> DataFrame:
+    """Edges ``u > v`` turned into stars around the smallest nodes.
+
     Alternating large-star and small-star steps: neighbours larger than a node move
     to its smallest neighbour, then the rest does, until every component is a star.
     Minima are combined before each shuffle, so a hub costs no more than its edges.
     """
-    e = edges.select("page_id", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
-    e = cut(e.distinct())
-    before = None
+    e, before = cut(e), None
     while True:
         print_of = e.agg(F.count("*"), F.bit_xor(F.xxhash64("page_id", "u", "v"))).first()
         if print_of == before or print_of[0] == 0:
-            break
+            return e
         before = print_of
         both = e.unionByName(e.select("page_id", F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("page_id", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -68,9 +144,6 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         moved = (large.join(low, ["page_id", "u"]).filter("v <> m")
                  .select("page_id", F.col("v").alias("u"), F.col("m").alias("v")))
         e = cut(moved.unionByName(low.select("page_id", "u", F.col("m").alias("v"))).distinct())
-    labels = e.select("page_id", F.col("u").alias("node"), F.col("v").alias("_label"))
-    return (nodes.join(labels, ["page_id", "node"], "left")
-            .withColumn("label", F.coalesce("_label", "node")).drop("_label"))
 
 
 def label_runs(mask: DataFrame) -> DataFrame:
@@ -191,6 +264,20 @@ def wire_bridges(regions: DataFrame, wires: DataFrame, min_wires: int = 2) -> Da
             .agg(F.count("*").alias("wires")).withColumn("bridge", F.col("wires") >= min_wires))
 
 
+def run_bridges(regions: DataFrame, wires: DataFrame, min_wires: int = 2) -> DataFrame:
+    """``wire_bridges`` of labelled runs ``page_id, pos, lo, hi, label``: a region's runs, grown by one, against the wires' runs."""
+    def tiled(df, lo, hi):
+        return df.withColumn("_t", F.explode(F.sequence(F.floor(lo / TILE), F.floor(hi / TILE))))
+
+    lo, hi = F.col("lo"), F.col("hi")
+    grown = tiled(regions.select("page_id", F.explode(F.array(*[F.col("pos") + d for d in (-1, 0, 1)])).alias("pos"),
+                                 F.col("label").alias("region"), (lo - 1).alias("g_lo"), (hi + 1).alias("g_hi")), F.col("g_lo"), F.col("g_hi"))
+    lines = tiled(wires.select("page_id", "pos", "lo", "hi", F.col("label").alias("wire")), lo, hi)
+    met = grown.join(lines, ["page_id", "pos", "_t"]).filter((F.col("g_lo") <= hi) & (lo <= F.col("g_hi")))
+    return (met.select("page_id", "region", "wire").distinct().groupBy("page_id", "region")
+            .agg(F.count("*").alias("wires")).withColumn("bridge", F.col("wires") >= min_wires))
+
+
 def greedy_matching(edges: DataFrame) -> DataFrame:
     """Pairs ``page_id, i, j`` chosen in order of (i, j), each end used once.
 

@@ -73,13 +73,13 @@ _VRUNS = f"""vi AS (SELECT page_id, x, y, y - row_number() OVER (PARTITION BY pa
     vr AS (SELECT page_id, x AS pos, min(y) AS lo, max(y) AS hi FROM vi GROUP BY page_id, x, grp)"""
 
 
-def edges(ev: Evidence, axis: str):
-    return runs.edges(runs.dash_lines(runs.runs(pixels.dark_mask(ev.v_pixel, DARK), axis), 1, 3, 3), gap=2)
+def edges(mask, axis: str):
+    return runs.edges(runs.dash_lines(runs.runs(mask, axis), 1, 3, 3), gap=2)
 
 
 @query("q_clusters", f"WITH {_RUNS}, {_LINES.format(n='h', src='rn')} SELECT page_id, cluster, mean_pos, first_pos, last_pos, span_lo, span_hi, n FROM he")
 def q_clusters(ev):
-    return edges(ev, "h")
+    return edges(pixels.dark_mask(ev.v_pixel, DARK), "h")
 
 
 @query("q_frame", f"""WITH {_RUNS}, {_VRUNS}, {_LINES.format(n='h', src='rn')}, {_LINES.format(n='v', src='vr')},
@@ -87,8 +87,9 @@ def q_clusters(ev):
     vv AS (SELECT page_id, arg_min(mean_pos, abs(mean_pos - 4) * 1000 + mean_pos) AS x0, max(mean_pos) AS x1 FROM ve GROUP BY page_id HAVING count(*) >= 2)
     SELECT hh.page_id, x0 AS x, y0 AS y, x1 - x0 AS w, y1 - y0 AS h FROM hh JOIN vv ON hh.page_id = vv.page_id""")
 def q_frame(ev):
-    anchors = ev.v_pixel.select("page_id").distinct().select("page_id", F.lit(4).alias("ax"), F.lit(3).alias("ay"))
-    return runs.frame_box(edges(ev, "h"), edges(ev, "v"), anchors)
+    mask = cut(pixels.dark_mask(ev.v_pixel, DARK).select("page_id", "x", "y"))  # only pages with dark pixels have a frame
+    anchors = mask.select("page_id").distinct().select("page_id", F.lit(4).alias("ax"), F.lit(3).alias("ay"))
+    return runs.frame_box(edges(mask, "h"), edges(mask, "v"), anchors)
 
 
 @query("q_legend", """
@@ -144,7 +145,7 @@ def raster(label):
       CAST(floor(median(v.b)) AS INTEGER) AS b, CAST(floor(median(v.g)) AS INTEGER) AS g, CAST(floor(median(v.r)) AS INTEGER) AS r
     FROM cc JOIN v_pixel v ON cc.page_id = v.page_id AND cc.x = v.x AND cc.y = v.y GROUP BY cc.page_id, cc.label""", recursive=True)
 def q_components(ev):
-    mask = pixels.mask_chan_diff(ev.v_pixel, 90)
+    mask = cut(pixels.mask_chan_diff(ev.v_pixel, 90))
     stats = pixels.region_stats(graph.label_pixels(mask))
     return stats.withColumn("label", raster(F.col("label")))
 
@@ -285,9 +286,10 @@ def q_cleanup(ev):
     e AS (SELECT cc.page_id, cc.label AS region, count(DISTINCT dd.label) AS wires FROM cc JOIN dd ON cc.page_id = dd.page_id AND abs(cc.x - dd.x) <= 1 AND abs(cc.y - dd.y) <= 1 GROUP BY ALL)
     SELECT page_id, region, wires, wires >= 2 AS bridge FROM e""", recursive=True)
 def q_bridges(ev):
-    regions = graph.label_pixels(pixels.mask_chan_diff(ev.v_pixel, 90).select("page_id", "x", "y"))
-    ink = pixels.dark_mask(ev.v_pixel, DARK).filter(pixels.spread() <= 90).select("page_id", "x", "y")
-    found = graph.wire_bridges(regions, graph.label_pixels(ink))
+    coloured = pixels.spread() > 90
+    px = cut(ev.v_pixel.select("page_id", "x", "y", coloured.alias("coloured"), (~coloured & (pixels.grey() < DARK)).alias("ink")).filter("coloured OR ink"))
+    regions, ink = px.filter("coloured").select("page_id", "x", "y"), px.filter("ink").select("page_id", "x", "y")
+    found = graph.run_bridges(graph.label_runs(regions), graph.label_runs(ink))
     return found.withColumn("region", raster(F.col("region")))
 
 
