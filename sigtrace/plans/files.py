@@ -24,6 +24,14 @@ def _documents(ev: Evidence, docs: DataFrame, by: str) -> str:
     return f"{path}/_doc=*/*.json"
 
 
+def _batches(ev: Evidence, docs: DataFrame, by: str, size: int = 64) -> str:
+    """A folder of JSON arrays, each with the documents of ``size`` neighbouring values of ``by``: files cost more than rows."""
+    batch = F.floor(F.col(by) / size).alias("_batch")
+    own = docs.select(batch, F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != by])).alias("value"))
+    lists = own.groupBy("_batch").agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("value")), F.lit("]")).alias("value"))
+    return _texts(ev, lists, "_batch")
+
+
 def _texts(ev: Evidence, docs: DataFrame, by: str) -> str:
     """Like ``_documents`` for rows (``by``, value) that are a whole document as text."""
     path = _folder(ev)
@@ -51,7 +59,7 @@ def r_ocr_runs(ev):
     per = rows.groupBy("run", "raw").agg(_listed("seq", *hit).alias("own"))
     docs = per.groupBy("run").agg(F.max(F.when(~F.col("raw"), F.col("own"))).alias("hits"), F.max(F.when(F.col("raw"), F.col("own"))).alias("raw_stage1"))
     docs = docs.select("run", F.concat(F.lit("run"), F.col("run").cast("string")).alias("run_id"), F.lit(300).alias("dpi"), "hits", "raw_stage1")
-    return readers.read_ocr_runs(ev.spark, _documents(ev, docs, "run")).select("run_id", "section", "ord", "text", "conf", "x", "y", "src_dpi")
+    return readers.read_ocr_runs(ev.spark, _batches(ev, docs, "run")).select("run_id", "section", "ord", "text", "conf", "x", "y", "src_dpi")
 
 
 @query("r_detections", """
