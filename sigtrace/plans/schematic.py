@@ -423,8 +423,7 @@ def q_parallel(ev):
     FROM v_symbol b WHERE b.sym = 'diode'""")
 def q_varactor(ev):
     parts = ev.v_symbol.filter("sym = 'diode'").select("page_id", "ord", (F.col("x") % 1200).alias("x"), (F.col("y") % 1500).alias("y"))
-    pairs = associate.parallel_pairs(ev.v_segment, gap=(6, 30))
-    return associate.has_parallel(parts, pairs, 25).select("ord", "varactor")
+    return associate.varactors(parts, ev.v_segment, 25, gap=(6, 30)).select("ord", "varactor")
 
 
 @query("q_merge_regions", """
