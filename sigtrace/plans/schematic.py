@@ -396,8 +396,7 @@ def q_gaps(ev):
     SELECT y.page_id, y.ord, k.cx AS gap_x, k.cy AS gap_y, k.gap FROM v_symbol y LEFT JOIN k ON y.ord = k.ord AND k.rn = 1""")
 def q_nearest_gap(ev):
     symbols = ev.v_symbol.select("page_id", "ord", (F.col("x") % 1200).alias("x"), (F.col("y") % 1500).alias("y"))
-    gaps = associate.collinear_gaps(ev.v_segment, max_gap=60)
-    return associate.nearest_gap(symbols, gaps, 60).select("page_id", "ord", "gap_x", "gap_y", "gap")
+    return associate.nearest_collinear_gap(symbols, ev.v_segment, 60, max_gap=60).select("page_id", "ord", "gap_x", "gap_y", "gap")
 
 
 @query("q_parallel", """
