@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions import shapes
 from ..functions.text import ref_reads, text_matches, text_verdict
+from ..session import cut
 from .ordered import first_per
 from .spatial import nearest_k
 
@@ -96,9 +97,11 @@ def relocate(components: DataFrame, symbols: DataFrame, reads: DataFrame, n: int
     component's text box are passed over.  Components of one place share a search, which
     widens until ``n`` symbols are found or the page is exhausted.
     """
-    key, own = ["page_id", "ord"], components.select("page_id", "ord", "refdes", "x", "y", "text_box")
+    key, box = ["page_id", "ord"], F.when(F.size("text_box") > 0, geo.box_bounds(F.col("text_box")))
+    # The failed checks are worked out once, as the search and its answer both need them; of the text box only its bounds.
+    own = cut(components.select("page_id", "ord", "refdes", "x", "y", box.alias("bounds")))
     near = own.join(nearest_k(own, symbols, n), ["page_id", "x", "y"])
-    outside = near.filter(~geo.in_box(F.col("sx"), F.col("sy"), F.col("text_box")))
+    outside = near.filter(~F.coalesce(geo.in_bounds(F.col("sx"), F.col("sy"), F.col("bounds")), F.lit(False)))
     texts = reads.select("s_ord", "text").distinct()
     good = outside.join(texts, "s_ord").filter(ref_reads(F.col("refdes"), F.col("text")))
     best = first_per(good.select(*key, "refdes", "s_ord", "sx", "sy", "distance"), [*key, "refdes"], ["distance", "s_ord"])
